@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from noteweave.llm import packing, token_counts, token_files
+from noteweave.llm import mixing, packing, sharding, token_counts, token_files
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
     "op3_token_files": token_files.op3_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_shard": sharding.op5_shard,
+    "op7_mix": mixing.op7_mix,
 }
 ORACLES: dict[str, str] = {}
