@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteweave.llm import mixing, packing, sharding, token_counts, token_files
+from noteweave.llm import mixing, packing, sharding, token_counts, token_files, toxicity
 
 QUERIES = {
     "op2_pack": packing.op2_pack,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_shard": sharding.op5_shard,
     "op7_mix": mixing.op7_mix,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
