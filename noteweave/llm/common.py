@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of input that one task should take in; text grows about twofold when it is decompressed.
 TASK_BYTES = 32 << 20
+#: Catalyst's estimate where it knows nothing is beyond this.
+UNKNOWN_BYTES = 1 << 60
+MOST_PARTITIONS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +48,10 @@ def input_bytes(df: DataFrame) -> int:
 
 def partitions_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
     """Shuffle partitions for all of ``df``: the session's number, or more where a task would take too much."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, math.ceil(input_bytes(df) / task_bytes)))
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return least
+    return max(least, min(MOST_PARTITIONS, math.ceil(size / task_bytes)))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noteweave.llm import mixing, packing, sharding, token_counts, token_files, toxicity
+from noteweave.llm import fingerprints, mixing, packing, sharding, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_fingerprint": fingerprints.op1_fingerprint,
     "op2_pack": packing.op2_pack,
     "op3_token_files": token_files.op3_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
