@@ -70,3 +70,49 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def text_of(column: str = "text"):
     """The text, a null one as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def groups(batches, keys: int):
+    """Runs of equal leading ``keys`` columns in a sorted stream of Arrow batches: (key values, table of the run)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = None
+        for c in batch.columns[:keys]:
+            differs = pc.invert(pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(c) - 1)), False))
+            change = differs if change is None else pc.or_(change, differs)
+        starts = [0, *(i + 1 for i, x in enumerate(change.to_pylist()) if x), batch.num_rows]
+        for a, b in zip(starts, starts[1:], strict=False):
+            key = tuple(c[a].as_py() for c in batch.columns[:keys])
+            if held and key != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+class Forest:
+    """Union-find over small integers; keeps the links that joined two trees."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((a, b))
