@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteweave.llm import embedding_dups, fingerprints, mixing, packing, sharding, token_counts, token_files, toxicity
+from noteweave.llm import embedding_dups, fingerprints, mixing, ngram_join, packing, sharding, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprints.op1_fingerprint,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_shard": sharding.op5_shard,
     "op7_mix": mixing.op7_mix,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_embedding_dups": embedding_dups.op9_embedding_dups,
     "op10_toxicity": toxicity.op10_toxicity,
 }
