@@ -1,0 +1,123 @@
+"""Typed record queries: filters, sorting, validation, duplicates and upserts.
+
+Empty means null or ''. An empty value matches only ``ne``, ``nin`` and ``missing``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from noteweave.functions import text as tx
+
+ORDERED = ("lt", "lte", "gt", "gte")
+
+
+@dataclass
+class Field:
+    kind: str = "string"  # string, enum, date, bool, url or number
+    required: bool = False
+    values: tuple[str, ...] = ()
+    max_length: int | None = None
+
+
+@dataclass
+class Sheet:
+    fields: dict[str, Field]
+    key: tuple[str, ...] = ()
+    identity: tuple[str, ...] = ()
+    unknown: dict = field(default_factory=dict)
+
+
+def empty(name: str) -> Column:
+    return F.col(name).isNull() | (F.col(name).cast("string") == "")
+
+
+def compare(sheet: Sheet, name: str, op: str, value) -> Column:
+    kind = sheet.fields[name].kind if name in sheet.fields else None
+    if op in ORDERED and kind not in ("date", "number"):
+        raise ValueError(f"{op} needs a date or number column: {name}")
+    col = F.date_format(name, "yyyy-MM-dd") if kind == "date" else F.col(name)
+    if op == "missing":
+        return empty(name) == F.lit(bool(value))
+    if op in ("in", "nin") and isinstance(value, str):
+        raise ValueError(f"{op} needs a list: {name}")
+    full = {
+        "eq": lambda: col == value, "ne": lambda: col != value, "lt": lambda: col < value, "lte": lambda: col <= value, "gt": lambda: col > value, "gte": lambda: col >= value,
+        "contains": lambda: F.contains(F.lower(col.cast("string")), F.lit(str(value).lower())), "in": lambda: col.isin(list(value)), "nin": lambda: ~col.isin(list(value)),
+    }
+    if op not in full:
+        raise ValueError(f"unknown operator: {op}")
+    return F.when(empty(name), F.lit(op in ("ne", "nin"))).otherwise(full[op]())
+
+
+def query(rows: DataFrame, sheet: Sheet, filters: dict[str, dict], sort: str | None = None, descending: bool = False, tie: str = "path", limit: int | None = None) -> DataFrame:
+    """Rows that meet every filter {column: {operator: value}}, sorted with empty values last."""
+    tests = [compare(sheet, name, op, value) for name, ops in filters.items() for op, value in ops.items()]
+    rows = rows.filter(reduce(lambda a, b: a & b, tests)) if tests else rows
+    if sort:
+        rows = rows.orderBy(empty(sort).cast("int"), F.col(sort).desc() if descending else F.col(sort).asc(), tie)
+    return rows if limit is None else rows.limit(limit)
+
+
+def first_error(sheet: Sheet) -> Column:
+    """The first field at fault, in the sheet's order, or the first required one that is missing; null if none."""
+    errors = []
+    for name, f in sheet.fields.items():
+        text = F.col(name).cast("string")
+        wrong = {
+            "enum": ~text.isin(list(f.values)) if f.values else F.lit(False),
+            "date": F.try_to_timestamp(text).isNull(),
+            "number": text.try_cast("double").isNull(),
+            "bool": ~F.lower(text).isin("true", "false"),
+            "url": ~text.rlike("^https?://.+"),
+        }.get(f.kind, F.lit(False))
+        errors.append(F.when(~empty(name) & wrong, F.lit(f"{name}: not a {f.kind}")))
+        if f.max_length:
+            errors.append(F.when(~empty(name) & (F.length(text) > f.max_length), F.lit(f"{name}: longer than {f.max_length}")))
+    errors += [F.when(empty(name), F.lit(f"{name}: missing")) for name, f in sheet.fields.items() if f.required]
+    return F.coalesce(*errors, F.lit(None).cast("string"))
+
+
+def check(rows: DataFrame, sheet: Sheet) -> DataFrame:
+    """(path, error) of the rows at fault."""
+    return rows.select("path", first_error(sheet).alias("error")).filter(F.col("error").isNotNull())
+
+
+def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(first_path, path) of rows that repeat an earlier row's normalised key."""
+    keys = [tx.norm(F.col(k).cast("string")) for k in key]
+    first = rows.withColumn("_key", F.concat_ws("\x1f", *keys))
+    firsts = first.groupBy("_key").agg(F.min("path").alias("first_path"))
+    return first.join(firsts, "_key").filter(F.col("path") != F.col("first_path")).select("first_path", "path")
+
+
+def upsert(base: DataFrame, incoming: DataFrame, sheet: Sheet) -> DataFrame:
+    """(path, action, changed) for each incoming row (with seq): matched by identity, else by a lone candidate of its key
+    without identity; insert, update with the changed fields, none, or ambiguous."""
+    norm = lambda d: F.concat_ws("\x1f", *[tx.norm(F.col(f"{d}.{k}").cast("string")) for k in sheet.key])
+
+    def ident(d: str) -> Column:
+        return F.coalesce(*[F.when(F.col(f"{d}.{c}").cast("string") != "", tx.norm(F.col(f"{d}.{c}").cast("string"))) for c in sheet.identity], F.lit(None).cast("string"))
+
+    b = base.alias("b").select(F.struct("b.*").alias("old"), F.col("b.path").alias("path"), norm("b").alias("k"), ident("b").alias("old_id"))
+    n = incoming.alias("n").select(F.struct("n.*").alias("new"), F.col("n.seq").alias("seq"), norm("n").alias("k"), ident("n").alias("new_id"))
+    pairs = n.join(b, "k", "left").withColumn("same", F.col("new_id") == F.col("old_id"))
+    by = Window.partitionBy("seq")
+    pairs = pairs.withColumn("candidates", F.count("path").over(by)).withColumn("bare", F.count_if(F.col("path").isNotNull() & F.col("old_id").isNull()).over(by)).withColumn("hits", F.count_if("same").over(by))
+    chosen = F.when(F.col("new_id").isNotNull(), F.coalesce(F.col("same"), F.lit(False)) | ((F.col("hits") == 0) & (F.col("candidates") == 1) & (F.col("bare") == 1))).otherwise(F.col("candidates") == 1)
+    first = F.row_number().over(by.orderBy(F.desc(F.coalesce(chosen, F.lit(False)).cast("int")), "path"))
+    one = pairs.withColumn("take", F.coalesce(chosen, F.lit(False))).withColumn("first", first).filter(F.col("first") == 1)
+    names = [c for c in incoming.columns if c in base.columns and c not in ("path", "seq", "created", "agent")]
+    changed = F.filter(F.array(*[F.when(~empty_of(f"new.{c}") & ~F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")), F.lit(c)) for c in names]), lambda x: x.isNotNull())
+    ambiguous = F.col("new_id").isNull() & (F.col("candidates") > 1)
+    action = F.when(ambiguous, "ambiguous").when(~F.col("take") | F.col("path").isNull(), "insert").when(F.size(changed) == 0, "none").otherwise("update")
+    return one.select("seq", F.when(action.isin("none", "update"), F.col("path")).alias("path"), action.alias("action"), F.when(action == "update", F.array_join(changed, ",")).alias("changed"))
+
+
+def empty_of(name: str) -> Column:
+    return F.col(name).isNull() | (F.col(name).cast("string") == "")
