@@ -157,8 +157,8 @@ def knn_pairs(spark, sf_dir):
     return pairs_of(spark, sf_dir)
 
 
-COMP_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), walk AS (SELECT a AS node, a AS at FROM sym UNION SELECT w.node, sym.b FROM walk w JOIN sym ON sym.a = w.at),
- comp AS (SELECT node AS path, min(at) AS component FROM walk GROUP BY node)"""
+COMP_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), walk AS (SELECT a AS node, a AS here FROM sym UNION SELECT w.node, sym.b FROM walk w JOIN sym ON sym.a = w.here),
+ comp AS (SELECT node AS path, min(here) AS component FROM walk GROUP BY node)"""
 
 
 @query("clusters", f"{COMP_SQL} SELECT path, component FROM comp")

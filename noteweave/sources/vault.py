@@ -1,0 +1,84 @@
+"""Folders of markdown notes, vector files and journals as DataFrames, and writing notes back.
+
+Everything is read and written by Spark, so a vault may be in any store that Spark reaches.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from noteweave.functions import text as tx
+
+#: Folders that are never read.
+SKIP_DIRS = (".obsidian", ".trash", ".git")
+
+
+def _relative(root: str):
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "")
+    return F.substr(path, F.lit(len(base) + 2))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_DIRS))))
+
+
+def read_notes(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
+    """(path, text, mtime) of every ``.md`` file below ``root``; bytes that are no UTF-8 are dropped."""
+    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    rows = rows.select(_relative(root).alias("path"), F.regexp_replace("value", "�", "").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
+    rows = _listed(rows)
+    return rows if folder is None else rows.filter(F.col("path").startswith(folder.rstrip("/") + "/"))
+
+
+def read_hashes(spark: SparkSession, root: str) -> DataFrame:
+    """(path, hash): SHA-256 of the raw bytes of every note."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    return _listed(rows.select(_relative(root).alias("path"), F.sha2("content", 256).alias("hash")))
+
+
+def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; blank and malformed ones are skipped."""
+    bad = "_bad"
+    rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(path)
+    return rows.filter(F.col(bad).isNull()).drop(bad)
+
+
+def read_vectors(spark: SparkSession, path: str, prefix: str, model: str) -> DataFrame:
+    """(path, vec, at) of vector files whose lines are ``"key": {...},``: the last entry of each key with ``prefix``; files
+    with a malformed line are left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "").withColumn("line", F.monotonically_increasing_id())
+    parsed = F.try_parse_json(F.concat(F.lit("{"), F.regexp_replace(F.trim("value"), ",$", ""), F.lit("}")))
+    body = F.regexp_replace(F.regexp_replace(F.trim("value"), ",$", ""), r'^"(?:[^"\\]|\\.)*"\s*:', "")
+    rows = lines.withColumn("ok", parsed.isNotNull()).withColumn("key", F.regexp_extract(F.trim("value"), r'^"((?:[^"\\]|\\.)*)"', 1))
+    good = rows.groupBy("file").agg(F.bool_and("ok").alias("good")).filter("good").select("file")
+    kept = rows.join(good, "file", "left_semi").filter(F.col("key").startswith(prefix))
+    data = F.try_parse_json(body)
+    kept = kept.select("key", "file", "line", F.try_variant_get(data, "$.path", "string").alias("path"), F.try_variant_get(data, f"$.embeddings['{model}'].vec", "array<double>").alias("vec"), F.coalesce(F.try_variant_get(data, "$.last_embed.at", "long"), F.lit(0)).alias("at"))
+    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("file"), F.desc("line"))) == 1
+    return kept.withColumn("_last", last).filter("_last").filter(F.col("path").isNotNull() & F.col("vec").isNotNull()).select("path", "vec", "at")
+
+
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """``wanted`` (seq, stem) with name: the stem, or with `` 2``, `` 3`` and so on behind it where notes have it."""
+    used = taken.select(F.lower(tx.stem(F.col("path"))).alias("_used")).distinct()
+    number = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("seq"))
+    rows = wanted.withColumn("_n", number)
+    base = F.lower("stem")
+    pattern = F.regexp_extract("_used", r"^(.*?)(?: (\d+))?$", 1)
+    count = used.withColumn("_base", pattern).groupBy("_base").agg(F.max(F.coalesce(F.regexp_extract("_used", r" (\d+)$", 1).try_cast("int"), F.lit(1))).alias("_most"))
+    at = F.col("_n") + F.coalesce("_most", F.lit(0))
+    rows = rows.join(count, base == F.col("_base"), "left")
+    return rows.select("seq", "stem", F.when(at == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" "), at.cast("string"))).alias("name"))
+
+
+def write_table(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """State tables (manifest, vectors, journal): a full refresh, or rows added."""
+    rows.write.mode("overwrite" if overwrite else "append").parquet(path)
+
+
+def merge_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with their key."""
+    return old.join(new.select(*key), key, "left_anti").unionByName(new)

@@ -1,0 +1,54 @@
+"""Reading and ingesting folders of notes."""
+
+from noteweave.sources import vault
+from noteweave.streaming import ingest
+
+
+def make(tmp_path):
+    root = tmp_path / "my vault"
+    for path, data in {"a/b.md": b"one", "a b.md": b"two \xff!", ".git/x.md": b"no", "a/.trash/y.md": b"no", "c.txt": b"no"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(data)
+    return root
+
+
+def test_notes_and_hashes(spark, tmp_path):
+    root = make(tmp_path)
+    assert {r.path: r.text for r in vault.read_notes(spark, str(root)).collect()} == {"a/b.md": "one", "a b.md": "two !"}
+    assert [r.path for r in vault.read_notes(spark, str(root), "a").collect()] == ["a/b.md"]
+    assert {r.path for r in vault.read_hashes(spark, str(root)).collect()} == {"a/b.md", "a b.md"}
+
+
+def test_journal_and_vectors(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text('{"a": 1}\n\n{bad\n{"a": 2}\n')
+    assert sorted(r.a for r in vault.read_journal(spark, str(tmp_path / "j.jsonl"), "a long").collect()) == [1, 2]
+    (tmp_path / "v").mkdir()
+    line = '"src:n.md": {"path": "n.md", "embeddings": {"m": {"vec": [1, %d]}}, "last_embed": {"at": 5}},\n'
+    (tmp_path / "v/1.ajson").write_text(line % 2 + line % 3 + '"other:x": {"path": "x"},\n')
+    (tmp_path / "v/2.ajson").write_text('"src:z.md": {bad},\n' + (line % 9).replace("n.md", "z.md"))
+    got = vault.read_vectors(spark, str(tmp_path / "v"), "src:", "m").collect()
+    assert [(r.path, list(r.vec), r["at"]) for r in got] == [("n.md", [1.0, 3.0], 5)]
+
+
+def test_names(spark):
+    taken = spark.createDataFrame([("x/Log.md",), ("y/log 2.md",)], "path string")
+    wanted = spark.createDataFrame([(1, "log"), (2, "New"), (3, "new")], "seq long, stem string")
+    assert {r.seq: r.name for r in vault.free_names(wanted, taken).collect()} == {1: "log 3", 2: "New", 3: "new 2"}
+
+
+def test_stream(spark, tmp_path):
+    schema = "path string, text string, mtime timestamp"
+    source, folder, mark = (f"{tmp_path}/{x}" for x in ("in", "manifest", "mark"))
+    seen = []
+
+    def run():
+        notes = spark.readStream.schema(schema).parquet(source)
+        ingest.ingest(notes, folder, mark, lambda rows, n: seen.append(sorted(r.path for r in rows.collect()))).awaitTermination()
+
+    at = "2024-01-01 00:00:00"
+    spark.createDataFrame([("a", "1", at), ("b", "1", at)], "path string, text string, mtime string").selectExpr("path", "text", "timestamp(mtime) mtime").write.mode("append").parquet(source)
+    run()
+    spark.createDataFrame([("a", "1", at), ("b", "2", at), ("c", "3", at)], "path string, text string, mtime string").selectExpr("path", "text", "timestamp(mtime) mtime").write.mode("append").parquet(source)
+    run()
+    assert seen == [["a", "b"], ["b", "c"]]
+    assert ingest.manifest(spark, folder).count() == 3
