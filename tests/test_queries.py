@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import noteweave.plans.maintenance
 import noteweave.plans.retrieval
 import noteweave.plans.structure  # noqa: F401
 from noteweave.plans import registry
