@@ -80,7 +80,9 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), budget_shar
     kept = [c for c in (docs.columns if carried is None else carried) if c.lower() not in new]
     text, source = F.col(text_column), F.col(source_column)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), source.cast("string").alias("source"), words_of(text).alias("size"), F.xxhash64(F.col(id_column), text, F.lit("mix")).alias("hash"))
-    rows = common.materialise(rows.withColumn("order", F.monotonically_increasing_id()), "mix-rows")
+    rows = rows.withColumn("order", F.monotonically_increasing_id())  # tells apart rows that are equal, no others
+    if text_column not in kept:  # narrow rows are written, so that texts are read once
+        rows = common.materialise(rows, "mix-rows")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row for each source
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     if not found:
