@@ -52,3 +52,54 @@ def test_stream(spark, tmp_path):
     run()
     assert seen == [["a", "b"], ["b", "c"]]
     assert ingest.manifest(spark, folder).count() == 3
+
+
+def test_graph_notes(spark):
+    from noteweave.sources import graph_notes as gn
+
+    text = gn.entity_note("Acme", "organization", ["AC", "Ac me"], "Makes things.").replace("## Mentions\n", "## Mentions\n- [[n/one|One]] — seen\n- [[n/two|Two]]\n").replace("## Relations\n", "## Relations\n- owns [[Claude/Graph/Topics/X|X]]\n")
+    stub = "---\nentity: topic\nmerged_into: Claude/Graph/Topics/Y\n---\n# X\n"
+    rows = [("Claude/Graph/Organizations/Acme.md", text), ("Claude/Graph/Topics/X.md", stub), ("Work/a.md", "x"), ("b.md", "y"), ("README.md", "z"), ("c.md", "---\norganize: false\n---\n")]
+    notes = spark.createDataFrame(rows, "path string, text string")
+    entities, mentions, edges = gn.rebuild(notes)
+    (e,) = entities.collect()
+    assert (e.path, e.name, e.type, e.summary, e.aliases) == ("Claude/Graph/Organizations/Acme", "Acme", "organization", "Makes things.", ["AC", "Ac me"])
+    assert sorted((r.note, r.evidence) for r in mentions.collect()) == [("n/one", "seen"), ("n/two", "")]
+    assert [(r.rel, r.dst) for r in edges.collect()] == [("owns", "Claude/Graph/Topics/X")]
+    assert {(r.path.rsplit("/")[-1], r.next) for r in gn.redirects(notes).collect()} == {("Acme", None), ("X", "Claude/Graph/Topics/Y")}
+    assert [r.folder for r in gn.taxonomy(notes).collect()] == ["Work"]
+    assert {r.path for r in gn.filing_candidates(notes).collect()} == {"Work/a.md", "b.md"}
+
+
+def test_sinks(spark, tmp_path):
+    import pytest
+
+    from noteweave.sources import sinks
+
+    root = f"file://{tmp_path}"
+    sinks.write_note(spark, root, "Claude/a.md", "one\r\n")
+    sinks.append_note(spark, root, "Claude/a.md", "two\n")
+    assert (tmp_path / "Claude/a.md").read_text() == "one\ntwo\n"
+    with pytest.raises(FileExistsError):
+        sinks.write_note(spark, root, "Claude/a.md", "x")
+    with pytest.raises(PermissionError):
+        sinks.write_note(spark, root, "b.md", "x")
+    for bad in ("../x.md", "/etc/x", "C:/x"):
+        with pytest.raises(ValueError, match="outside"):
+            sinks.write_note(spark, root, bad, "x", confirm_outside=True)
+    sinks.move_note(spark, root, "Claude/a.md", "Work/b.md")
+    assert (tmp_path / "Work/b.md").exists() and not (tmp_path / "Claude/a.md").exists()
+
+
+def test_extraction(spark):
+    from noteweave.operators import plug, sweep
+
+    notes = spark.createDataFrame([("n1", "Ada Acme"), ("n2", "bad")], "path string, text string")
+    model = lambda t: '{"entities": [{"name": "ada", "type": "Person"}, {"name": " ", "type": "x"}], "relations": [{"from": "Ada", "rel": "Joins", "to": "New Co"}, {"from": "", "to": "x"}]}' if "Ada" in t else "none"
+    done = plug.extract(notes, model)
+    assert {r.path: bool(r.error) for r in done.collect()} == {"n1": False, "n2": True}
+    new, mentions, edges = plug.apply_extraction(spark.createDataFrame([("Ada Lovelace", ["ADA"])], "name string, aliases array<string>"), done)
+    assert [(r.name, r.type) for r in new.collect()] == [("New Co", "topic")]
+    assert [(r.entity, r.note) for r in mentions.collect()] == [("Ada Lovelace", "n1")]
+    assert [(r.src, r.rel, r.dst) for r in edges.collect()] == [("Ada Lovelace", "joins", "New Co")]
+    assert sweep.run_steps({"a": dict, "b": lambda: 1 / 0})["b"]["error"].startswith("ZeroDivisionError")
