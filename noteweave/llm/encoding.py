@@ -8,17 +8,21 @@ library whole.
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 
-import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Pieces held by one worker; the table starts anew beyond it. Longer pieces are not held.
 MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
 #: Runs of Latin letters; both vocabularies split between such a run and ASCII signs, digits or white space.
-LETTERS = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)")
-#: What may stand between such runs: signs and digits whose own split does not depend on the letters around them.
-BETWEEN = re.compile(r"\s?|\s?[!-&(-@\[-`{-~]+(?:\s[!-&(-@\[-`{-~]+)*\s?", re.ASCII)
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Such runs, each with the blank before it, and what stands between them.
+PIECES = re.compile(f" ?[{LETTERS}]+|(?:[^ {LETTERS}]| (?![{LETTERS}]))+")
+RUN = re.compile(f" ?[{LETTERS}]+")
+#: What else may stand alone: signs and digits whose own split does not depend on the letters around them.
+ALONE = re.compile(rf"\s|\s?[!-&(-@\[-`{{-~]+(?:\s[!-&(-@\[-`{{-~]+)*\s?", re.ASCII)
 
 
 class PieceEncoder:
@@ -28,36 +32,50 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = f"<u{width}"
-        self.memo: dict[str, bytes | None] = {"": b""}
+        self.kind = {2: "H", 4: "I"}[width]
+        self.memo: dict[str, bytes] = {}
+        # a run of letters is one pre-token: the same model behind a plain byte map
+        self.letters = Tokenizer.from_file(path)
+        self.letters.no_truncation()
+        self.letters.no_padding()
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.blank = self.tokenizer.normalizer is None
+        if not self.blank:
+            self.letters.normalizer = normalizers.Lowercase()
         self.marks = tuple(t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
         """Straight from the library."""
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
-        new = pieces - self.memo.keys()
+        new = {p for p in pieces if p not in self.memo}
         if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo = {"": b""}
-            new = pieces - {""}
-        alone = [p for p in new if len(p) <= MEMO_CHARS and (LETTERS.fullmatch(p) or BETWEEN.fullmatch(p))]
-        self.memo.update(zip(alone, self.whole(alone), strict=True))
+            self.memo = {}
+            new = pieces
+        runs = [p for p in new if len(p) <= MEMO_CHARS and RUN.fullmatch(p)]
+        self.memo.update(zip(runs, self.whole(runs if self.blank else [p.lstrip() for p in runs], self.letters), strict=True))
+        others = [p for p in new.difference(runs) if len(p) <= MEMO_CHARS and ALONE.fullmatch(p)]
+        self.memo.update(zip(others, self.whole(others), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [None if any(mark in text for mark in self.marks) else LETTERS.split(text) for text in texts]
-        pieces: set[str] = set()
-        for parts in split:
-            pieces.update(parts or ())
-        self.learn(pieces)
-        out: list[bytes] = []
-        for text, parts in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, parts)))
-            except (TypeError, KeyError):  # a special string, or a piece that does not stand alone
-                out.append(self.whole([text])[0])
-        return out
+        gc.disable()  # nothing below makes cycles, and collections would walk the whole table
+        try:
+            split = [None if any(mark in text for mark in self.marks) else PIECES.findall(text) for text in texts]
+            pieces: set[str] = set()
+            for parts in split:
+                pieces.update(parts or ())
+            self.learn(pieces)
+            out: list[bytes] = []
+            for text, parts in zip(texts, split, strict=True):
+                try:
+                    out.append(b"".join(map(self.memo.__getitem__, parts)))
+                except (TypeError, KeyError):  # a special string, or a piece that does not stand alone
+                    out.append(self.whole([text])[0])
+            return out
+        finally:
+            gc.enable()
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
