@@ -2,8 +2,9 @@
 dependencies, arguments validated against schemas, and each call written as canonical JSON.
 
 * Linking is a hash join on (conversation, id); results are reduced to the first of each id before it.
-* Order: calls without open dependencies have level 0, others one more than the highest they wait for. Each round
-  removes the dependencies met by the level before, by an anti join; rounds are as many as the longest chain. A call's
+* Order: calls without open dependencies have level 0, others one more than the highest they wait for. Runs of calls
+  with one dependency each are jumped by pointers that double, in rounds as the logarithm of their length; calls with
+  several dependencies take a round for each level of such calls. A call's
   position in its conversation is a count by level and turn, summed by blocks, so a conversation of any length is never
   gathered. Calls in or behind a cycle have no level and no position.
 * Validation: a schema gives each parameter's JSON type and whether it is required; nothing else may occur.
@@ -56,16 +57,35 @@ def levels(calls: DataFrame) -> DataFrame:
     waits = calls.select("conv", "id", F.explode("after").alias("dep")).distinct()
     waits = waits.join(ids.withColumnRenamed("id", "dep"), ["conv", "dep"], "left_semi")
     waits = common.materialise(waits, "waits")
-    level = common.materialise(ids.join(waits, ["conv", "id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    out, k = level, 0
-    while not waits.isEmpty():
-        k += 1
-        rest = common.materialise(waits.join(level.select("conv", F.col("id").alias("dep")), ["conv", "dep"], "left_anti"), "waits")
-        level = common.materialise(waits.select("conv", "id").distinct().join(rest, ["conv", "id"], "left_anti").withColumn("level", F.lit(k)), "level")
-        if level.isEmpty():
-            break
-        out, waits = out.union(level), rest
-    return out
+    counts = waits.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    roots = ids.join(counts, ["conv", "id"], "left_anti").withColumn("level", F.lit(0))
+    # pointers of calls with one dependency, doubled until they leave such calls
+    jumps = common.materialise(counts.filter("n = 1").select("conv", "id", F.col("dep").alias("anchor"), F.lit(1).alias("dist"), F.lit(True).alias("moving")), "jumps")
+    moving, first = jumps.count(), True
+    while moving:
+        on = jumps.select("conv", F.col("id").alias("anchor"), F.col("anchor").alias("_to"), F.col("dist").alias("_more"))
+        step = jumps.join(on, ["conv", "anchor"], "left")
+        jumps = common.materialise(step.select("conv", "id", F.coalesce("_to", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("_more", F.lit(0))).alias("dist"), F.col("_to").isNotNull().alias("moving")), "jumps")
+        left = jumps.filter("moving").count()
+        if left == moving and not first:
+            break  # distances double: a round in which none stops has only cycles left
+        moving, first = left, False
+    anchored = jumps.filter(~F.col("moving")).drop("moving")
+    known = common.materialise(roots, "level")
+    joints = counts.filter("n > 1").select("conv", "id", "n")
+    if not joints.isEmpty():
+        # calls with several dependencies: rounds over them alone
+        near = waits.join(joints, ["conv", "id"]).join(anchored.withColumnRenamed("id", "dep"), ["conv", "dep"], "left")
+        near = common.materialise(near.select("conv", "id", "n", F.coalesce("anchor", "dep").alias("anchor"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "joints")
+        while True:
+            met = near.join(known.select("conv", F.col("id").alias("anchor"), "level"), ["conv", "anchor"])
+            ready = met.groupBy("conv", "id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("dist")).alias("level")).filter("got = n")
+            new = common.materialise(ready.select("conv", "id", "level").join(known.select("conv", "id"), ["conv", "id"], "left_anti"), "level")
+            if new.isEmpty():
+                break
+            known = common.materialise(known.union(new), "level")
+    chained = anchored.join(known.select("conv", F.col("id").alias("anchor"), "level"), ["conv", "anchor"])
+    return known.union(chained.select("conv", "id", (F.col("level") + F.col("dist")).alias("level")))
 
 
 def positions(placed: DataFrame) -> DataFrame:
