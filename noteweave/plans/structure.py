@@ -104,8 +104,7 @@ def repair_relations(spark, sf_dir):
 
 @query("find_orphans", f"WITH {GRAPH_SQL} SELECT path FROM entities WHERE path NOT IN (SELECT entity FROM mentions WHERE note LIKE 'O/11%') AND path NOT IN (SELECT src FROM edges WHERE src LIKE 'P/22%')")
 def find_orphans(spark, sf_dir):
-    m, e = mentions(spark, sf_dir).filter(F.col("note").startswith("O/11")), edges(spark, sf_dir).filter(F.col("src").startswith("P/22"))
-    return graph.orphans(entities(spark, sf_dir), m, e).select("path")
+    return graph.orphans(entities(spark, sf_dir), mentions(spark, sf_dir), edges(spark, sf_dir)).select("path")
 
 
 @query("orphaned_mentions", "SELECT 'P/' || l_partkey AS entity, 'O/' || l_orderkey AS note FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
