@@ -90,8 +90,8 @@ PART_EDGES_SQL = "pe AS (SELECT DISTINCT 'P/' || l_partkey AS src, 'with' AS rel
 
 
 def part_edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 2)
-    return li.select(F.concat(F.lit("P/"), F.col("l_partkey").cast("string")).alias("src"), F.lit("with").alias("rel"), F.concat(F.lit("P/"), ((F.col("l_partkey") + F.col("l_suppkey")) % 2100).cast("string")).alias("dst")).distinct()
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("P/"), F.col("l_partkey").cast("string")).alias("src"), F.lit("with").alias("rel"), F.concat(F.lit("P/"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string")).alias("dst")).distinct()
 
 
 @query("repair_relations", f"""WITH RECURSIVE {REDIRECT_SQL}, {PART_EDGES_SQL}, x AS (SELECT pe.*, t.target FROM pe JOIN resolved s ON s.path = pe.src AND s.target = s.path LEFT JOIN resolved t ON t.path = pe.dst),

@@ -53,7 +53,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as relations from parts to suppliers."""
     li = table(spark, sf_dir, "lineitem")
-    return li.filter(F.col("l_linenumber") == 1).select(F.concat(F.lit("P/"), F.col("l_partkey").cast("string")).alias("src"), F.lit("supplied_by").alias("rel"), F.concat(F.lit("S/"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    return li.select(F.concat(F.lit("P/"), F.col("l_partkey").cast("string")).alias("src"), F.lit("supplied_by").alias("rel"), F.concat(F.lit("S/"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
 
 
 GRAPH_SQL = (

@@ -9,7 +9,7 @@ import pytest
 import noteweave.plans.maintenance
 import noteweave.plans.retrieval
 import noteweave.plans.structure  # noqa: F401
-from noteweave.plans import registry
+from noteweave.plans import registry, structure, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,37 @@ def small(tmp_path):
 
 def test_find_orphans_reads_every_order(spark, small):
     assert [r["path"] for r in registry.QUERIES["find_orphans"](spark, small).collect()] == ["P/3"]
+
+
+def test_edges_are_of_every_line(spark, small):
+    assert sorted((r["src"], r["dst"]) for r in tables.edges(spark, small).collect()) == [("P/1", "S/7"), ("P/2", "S/8"), ("P/2", "S/9"), ("P/2200", "S/9"), ("P/4", "S/7")]
+    assert sorted((r["src"], r["dst"]) for r in structure.part_edges(spark, small).collect()) == [("P/1", "P/8"), ("P/2", "P/10"), ("P/2", "P/11"), ("P/2200", "P/2209"), ("P/4", "P/11")]
+    assert {r["kind"]: r["n"] for r in registry.QUERIES["graph_stats"](spark, small).collect()} == {"type:T": 5, "edges": 5, "mentions": 5}
+    found = {r["path"]: r["relations"] for r in registry.QUERIES["find_entity"](spark, small).collect()}
+    assert found == {"P/1": "supplied_by 7", "P/2": "supplied_by 8,supplied_by 9", "P/3": "", "P/4": "supplied_by 7", "P/2200": "supplied_by 9"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_repair_relations_keeps_every_relation_of_live_sources(spark):
+    following, gone = {}, set()
+    for k in (r["p_partkey"] for r in rows("part")):
+        following[k] = k + 7 if k % 10 == 3 else k + 1 if k % 20 == 0 or k % 10 == 7 else k - 1 if k % 10 == 8 else None
+        if k % 30 == 1:
+            gone.add(k)
+
+    def end(k):
+        for _ in range(5):
+            k = following.get(k) if following.get(k) is not None else k
+        return k if k in following and following[k] is None and k not in gone else None
+
+    relations = {(r["l_partkey"], r["l_partkey"] + r["l_suppkey"]) for r in rows("lineitem") if end(r["l_partkey"]) == r["l_partkey"]}
+    want, new = [], {}
+    for a, b in relations:
+        if end(b) is not None and end(b) != b and (a, end(b)) not in relations:
+            new.setdefault((a, end(b)), []).append(f"P/{b}")
+    for a, b in relations:
+        to = end(b)
+        kept = to is not None and (to == b or f"P/{b}" == min(new.get((a, to), [""])))
+        want.append((f"P/{a}", f"P/{b}", f"P/{to}" if kept else None, "removed" if not kept else "kept" if to == b else "retargeted"))
+    got = registry.QUERIES["repair_relations"](spark, SF).collect()
+    assert sorted((r["src"], r["dst"], r["new_dst"] or "", r["action"]) for r in got) == sorted((a, b, c or "", d) for a, b, c, d in want)
