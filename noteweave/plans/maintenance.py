@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from noteweave.operators import plug, sweep
@@ -44,17 +47,21 @@ def embed_missing(spark, sf_dir):
     return plug.current_vectors(n.select("path", "hash", "text"), plugin, cache, plug.hash_embedder()).select("path", "origin", F.size("vec").alias("dim"))
 
 
-def first_words(text: str) -> str:
-    """A stand-in model: the first two words are entities, one related to the other."""
-    words = text.split(" ")[:2]
-    if len(words) < 2:
-        return "nothing"
-    import json
+#: The stand-in model takes words of so many letters, and shorter ones that begin with a capital.
+LONG_WORD = 8
 
-    return "Here: ```json\n" + json.dumps({"entities": [{"name": w, "type": "Topic"} for w in words], "relations": [{"from": words[0], "rel": "Before", "to": words[1]}]}) + "\n```"
+
+def long_words(text: str) -> str:
+    """A stand-in model over the whole text: all different capitalised or long words are entities, in the order of their
+    first use; each use is related to the next different one. Texts with fewer than two have no answer."""
+    words = [w for w in re.findall(r"[^\W\d_]+", text) if len(w) >= LONG_WORD or w[0].isupper()]
+    names, pairs = list(dict.fromkeys(words)), dict.fromkeys((a, b) for a, b in zip(words, words[1:]) if a != b)
+    if len(names) < 2:
+        return "nothing"
+    return "Here: ```json\n" + json.dumps({"entities": [{"name": w, "type": "Topic"} for w in names], "relations": [{"from": a, "rel": "Before", "to": b} for a, b in pairs]}) + "\n```"
 
 
 @query("extract_entities", f"WITH {NOTES_SQL}, w AS (SELECT path, string_split(text, ' ') AS w FROM notes) SELECT path, CASE WHEN len(w) < 2 THEN '' ELSE trim(w[1], E' \\n\\t\\r') || ',' || trim(w[2], E' \\n\\t\\r') END AS names, CASE WHEN len(w) < 2 THEN 0 ELSE 1 END AS relations, len(w) < 2 AS failed FROM w")
 def extract_entities(spark, sf_dir):
-    done = plug.extract(notes(spark, sf_dir), first_words)
+    done = plug.extract(notes(spark, sf_dir), long_words)
     return done.select("path", F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("names"), F.size("relations").alias("relations"), F.col("error").isNotNull().alias("failed"))
