@@ -28,9 +28,9 @@ def _occurrences(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
-def bm25l(notes: DataFrame, query: str, depth: int = DEPTH, tie: str = "path") -> DataFrame:
+def bm25l(notes: DataFrame, query: str, depth: int = DEPTH, tie: str = "path", by: str | None = None) -> DataFrame:
     """``notes`` (path, text) with score and rank, best first. Statistics are those of ``notes`` as filtered; a token
-    that the query repeats counts as often."""
+    that the query repeats counts as often. ``by``: ranks and depth hold within each value of that column."""
     terms = query_tokens(query)
     names = list(dict.fromkeys(terms))
     tokens = notes.withColumn("_t", tx.tokenize(F.col("text"))).withColumn("_dl", F.size("_t"))
@@ -46,11 +46,13 @@ def bm25l(notes: DataFrame, query: str, depth: int = DEPTH, tie: str = "path") -
         parts.append(F.when(tf > 0, idf * tf * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)).otherwise(F.lit(0.0)))
     score = reduce(lambda a, b: a + b, parts, F.lit(0.0))
     scored = counted.join(F.broadcast(stats)).withColumn("score", score).filter(F.col("score") > 0)  # one row of statistics
-    return ranked(scored.select(*notes.columns, "score"), [F.round("score", 9).desc(), tx.path_key(F.col(tie))], depth)
+    return ranked(scored.select(*notes.columns, "score"), [F.round("score", 9).desc(), tx.path_key(F.col(tie))], depth, by)
 
 
-def ranked(rows: DataFrame, order: list[Column], depth: int) -> DataFrame:
-    """The first ``depth`` rows by ``order``, with their rank from 1."""
+def ranked(rows: DataFrame, order: list[Column], depth: int, by: str | None = None) -> DataFrame:
+    """The first ``depth`` rows by ``order``, of all or within each value of ``by``, with their rank from 1."""
+    if by is not None:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= depth)
     return rows.orderBy(*order).limit(depth).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 

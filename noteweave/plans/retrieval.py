@@ -188,13 +188,10 @@ EVAL_SQL = f"""WITH {NOTES_SQL}, {bm25_sql('true')}, hits AS (SELECT source, doc
 
 @query("eval_metrics", EVAL_SQL)
 def eval_metrics(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     from noteweave.operators import evals
 
     n = notes(spark, sf_dir)
-    order = Window.partitionBy("query").orderBy(F.round("score", 9).desc(), tx.path_key(F.col("path")))
-    hits = rank.bm25l(n, WORDS).select(F.col("source").alias("query"), F.col("doc_id").alias("item"), "score", "path").withColumn("rank", F.row_number().over(order))
+    hits = rank.bm25l(n, WORDS, by="source").select(F.col("source").alias("query"), F.col("doc_id").alias("item"), "rank")
     labels = table(spark, sf_dir, "labels").filter("quality = 1 OR toxic = 1")
     gold = labels.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("query"), F.col("doc_id").alias("item"), (F.col("quality") == 1).alias("expect"))
     return evals.per_query(gold, hits, 5).select(F.col("query").alias("source"), F.round("recall", 6).alias("recall_5"), F.col("success").alias("success_5"), F.col("first_rank").cast("long").alias("first_rank"), F.round("rr", 6).alias("rr"))
