@@ -323,4 +323,6 @@ HEALTH_SQL = f"""{CHANGED_SQL} SELECT (SELECT count(*) FROM cur WHERE doc_id % 2
 def health_report(spark, sf_dir):
     from noteweave.operators import health
 
-    return health.report({"stale_embeddings": stale_vectors(spark, sf_dir), "manifest_drift": manifest_drift(spark, sf_dir).filter("state <> 'same'"), "orphaned_entities": graph.orphans(entities(spark, sf_dir), mentions(spark, sf_dir), edges(spark, sf_dir).limit(0))})
+    known = table(spark, sf_dir, "orders").select(F.concat(F.lit("O/"), F.col("o_orderkey").cast("string")).alias("path"))
+    orphaned = graph.orphaned_mentions(mentions(spark, sf_dir).distinct(), known)
+    return health.report({"stale_embeddings": stale_vectors(spark, sf_dir), "manifest_drift": manifest_drift(spark, sf_dir).filter("state <> 'same'"), "orphaned_entities": orphaned})
