@@ -10,16 +10,25 @@ from noteweave.functions.vectors import dot
 
 NEIGHBOURS, THRESHOLD = 10, 0.7
 
+#: Blocks of each side in a vote: each row is copied so often, and a pair of blocks is one key of the join.
+BLOCKS = 8
+
 
 def folder_vote(candidates: DataFrame, labelled: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(path, folder, share): the folder with the most similarity among each candidate's ``k`` nearest labelled rows, and
-    its share of theirs; ties go to the folder of the nearest. Candidates are a bounded batch, sent to all tasks."""
+    its share of theirs; ties go to the folder of the nearest. All candidates meet all labelled rows, block by block: block
+    numbers come from the paths, so that no side is sent whole to a task, and each block keeps its ``k`` nearest."""
     left = candidates.select(F.col("path").alias("p"), F.col("vec").alias("v"), F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("m"))
     right = labelled.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
     norms = F.col("norm") * F.col("m")
-    near = right.join(F.broadcast(left), F.col("path") != F.col("p")).withColumn("sim", F.when(norms > 0, dot(F.col("v"), F.col("vec")) / norms).otherwise(F.lit(0.0))).filter("sim > 0")
-    place = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("sim"), "path"))
-    top = near.withColumn("place", place).filter(F.col("place") <= k)
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOCKS)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    left = left.withColumn("lb", number("p")).withColumn("rb", F.explode(every))
+    right = right.withColumn("rb", number("path")).withColumn("lb", F.explode(every))
+    near = right.hint("shuffle_hash").join(left, ["lb", "rb"]).filter(F.col("path") != F.col("p")).withColumn("sim", F.when(norms > 0, dot(F.col("v"), F.col("vec")) / norms).otherwise(F.lit(0.0))).filter("sim > 0").select("p", "path", "folder", "sim", "rb")
+    nearest = [F.desc("sim"), F.col("path")]
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("p", "rb").orderBy(*nearest))).filter(F.col("place") <= k)
+    top = near.withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(*nearest))).filter(F.col("place") <= k)
     votes = top.groupBy("p", "folder").agg(F.sum("sim").alias("mass"), F.min("place").alias("first"))
     by = Window.partitionBy("p")
     rank = F.row_number().over(by.orderBy(F.round("mass", 9).desc(), "first"))

@@ -188,7 +188,7 @@ VOTE_SQL = """near AS (SELECT c.vec_id AS p, e.vec_id::VARCHAR AS q, e.label, li
 
 def votes_of(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return organize.folder_vote(v.filter("id % 10 = 0"), v)
+    return organize.folder_vote(v, v)
 
 
 @query("folder_vote", f"WITH {VOTE_SQL} SELECT path, folder, round(share, 6) AS share FROM votes")
@@ -199,7 +199,7 @@ def folder_vote(spark, sf_dir):
 @query("organize_decisions", f"""WITH {VOTE_SQL}, c AS (SELECT vec_id::VARCHAR AS path, CASE WHEN vec_id % 20 = 0 THEN label::VARCHAR END AS current, vec_id % 30 = 0 AS dup FROM embeddings WHERE vec_id % 10 = 0)
  SELECT path, folder, round(share, 6) AS share, CASE WHEN folder IS NULL OR folder IS NOT DISTINCT FROM current THEN 'skip' WHEN share < 0.3 THEN CASE WHEN current IS NULL THEN 'propose' ELSE 'skip' END WHEN dup THEN 'propose' ELSE 'move' END AS action FROM c LEFT JOIN votes USING (path)""")
 def organize_decisions(spark, sf_dir):
-    c = vectors(spark, sf_dir).filter("id % 10 = 0").select("path", F.col("path").alias("stem"), F.when(F.col("id") % 20 == 0, F.col("folder")).alias("current"), "id")
+    c = vectors(spark, sf_dir).select("path", F.col("path").alias("stem"), F.when(F.col("id") % 20 == 0, F.col("folder")).alias("current"), "id")
     done = organize.decisions(c.drop("id"), votes_of(spark, sf_dir), c.filter("id % 30 = 0").select("stem"), 0.3)
     return done.withColumn("share", F.round("share", 6))
 
