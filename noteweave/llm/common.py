@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of input that one task should take in; text grows about twofold when it is decompressed.
 TASK_BYTES = 32 << 20
 #: Catalyst's estimate where it knows nothing is beyond this.
 UNKNOWN_BYTES = 1 << 60
 MOST_PARTITIONS = 1 << 17
+#: Rows (of a key and a number or two) that may be sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session. Where it is unset (tests, one
-    machine), a temporary folder is made once and kept in the session's settings."""
+    """The folder all executors see: ``spark.checkpoint.dir`` of the session. Where it is unset and everything runs in one
+    process (tests), a temporary folder is made once and kept in the session's settings; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("noteweave.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noteweave-")
         spark.conf.set("noteweave.shared.dir", found)
     return found.rstrip("/")
@@ -34,11 +41,55 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/noteweave/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = work_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.noteweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "noteweave_path", None)
+        if path is not None:
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def attach(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each key. It is written first: sent to all executors if it has at most
+    ``BROADCAST_ROWS`` rows, else joined as a plain table, so Spark can split a key that many rows have."""
+    few = materialise(few, "few")
+    if few.count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return rows.join(few, keys, how)
+
+
+def row_place(docs: DataFrame) -> list[Column] | None:
+    """(part, file, row): where a row of a table read from files stands, in an order that outlives reading again: the
+    number in the file's name, the name, and the row in the file. None for other tables."""
+    if any(c.lower() == "_metadata" for c in docs.columns):
+        return None
+    name = F.col("_metadata.file_name")
+    found = [F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.lit(-1).cast("long")), name, F.col("_metadata.row_index")]
+    try:
+        docs.select(*found).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return found
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` (written) with their rank from 0 in ``order``: a range sort, and prefix sums over its partitions."""
+    at, spot = fresh(rows, "at", "spot")
+    rows = materialise(rows.orderBy(*order).withColumns({at: F.spark_partition_id(), spot: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    bases = rows.groupBy(at).agg(F.count(F.lit(1)).alias("_n")).select(at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(F.broadcast(bases), at).withColumn(name, F.col("_base") + F.col(spot)).drop(at, spot, "_base")
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -116,3 +167,15 @@ class Forest:
         if x != y:
             self.up[max(x, y)] = min(x, y)
             self.links.append((a, b))
+
+
+def words64(column) -> list:
+    """The values of an Arrow binary column as arrays of unsigned 64-bit integers, without copies; null as empty."""
+    import numpy as np
+
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    if data is None or at[-1] == at[0]:
+        return [np.zeros(0, np.uint64)] * len(column)
+    raw = np.frombuffer(data, np.uint8)
+    return [raw[a:b].view(np.uint64) for a, b in zip(at, at[1:], strict=False)]
