@@ -9,9 +9,14 @@ The lexicon, the exceptions and the curve are learned from labelled documents of
 ``TRAIN_ROWS`` of them, picked by hash. Copies are counted once (documents that share their least hash of three
 words), so the words of one often-copied document do not pass for terms.
 
-Defined cases: null and empty texts have no match and get the curve's lowest score; repeated rows score alike; without
-labelled documents of both kinds nothing is learned and every score is 0; an empty table gives no rows; all columns of
-the input are kept unless they have the name of a new one.
+Terms are counted over all of that sample, whatever their number; what the driver holds of it is the terms in at least
+``LEAST_TOXIC`` toxic documents, so their number is bounded by the sample's words.
+
+Defined cases: null and empty texts have no match and get the curve's lowest score; very long texts are folded and matched
+whole, in time proportional to their length; repeated rows score alike, and so do ties; rows that share an id are all
+scored, and the one with the least text hash is learned from; without labelled documents of both kinds nothing is learned
+and every score is 0; an empty table gives no rows; all columns of the input are kept unless they have the name of a new
+one.
 """
 
 from __future__ import annotations
@@ -33,10 +38,12 @@ from pyspark.sql import types as T
 
 from noteweave.llm import common
 
-#: The most labelled rows that are learned from (in expectation; picked by hash), terms and exceptions.
-TRAIN_ROWS, MOST_TERMS, MOST_EXCEPTIONS = 24_000, 5_000, 5_000
+#: The most labelled rows that are learned from (in expectation; picked by hash).
+TRAIN_ROWS = 24_000
 #: A term occurs in so many different toxic documents, and so large a share of its documents is toxic.
 LEAST_TOXIC, LEAST_SHARE = 7, 0.8
+#: An exception occurs in so many different documents, none of them toxic.
+LEAST_CLEAN = 3
 #: Letters of a stem.
 STEM = range(3, 9)
 #: Log-likelihood ratio that a term needs.
@@ -49,12 +56,23 @@ LEET = str.maketrans("0134578@$!|", "oieastbasil")
 
 _OTHER_SCRIPT = re.compile("[Ͱ-ԯ]")
 _MIXED = re.compile(r"[^\W\d_][0134578@$!|]|[0134578@$!|][^\W\d_]")
-_TOKEN = re.compile(r"[\w@$!|]*[^\W\d_][\w@$!|]*")
-_LEET_INSIDE = re.compile(r"[0134578@$!|](?=[\w@$|!]*[^\W\d_])|(?<=[^\W\d_])[0134578@$]+")
+_TOKEN = re.compile(r"[\w@$!|]+")
+_LAST_LETTER = re.compile(r".*[^\W\d_]", re.DOTALL)
+_LEET_BEHIND = re.compile("[0134578@$]*")
 _NO_LETTER = re.compile(r"[\W\d_]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
+def _plain(token: re.Match) -> str:
+    """A token in which digits and signs before a letter, and the run behind the last one, are the letters they stand for."""
+    word = token[0]
+    upto = _LAST_LETTER.match(word)
+    if upto is None:
+        return word
+    end = _LEET_BEHIND.match(word, upto.end()).end()
+    return word[:end].translate(LEET) + word[end:]
+
+
 def fold(text: str) -> str:
     """The words of a text in folded form, each between single blanks."""
     text = text.lower()
@@ -65,7 +83,7 @@ def fold(text: str) -> str:
         if _OTHER_SCRIPT.search(text):
             text = _TOKEN.sub(lambda m: m[0].translate(LOOKALIKES) if re.search("[a-z]", m[0]) else m[0], text)
     if _MIXED.search(text):
-        text = _TOKEN.sub(lambda m: _LEET_INSIDE.sub(lambda d: d[0].translate(LEET), m[0]), text)
+        text = _TOKEN.sub(_plain, text)
     words = _NO_LETTER.sub(" ", text).strip()
     return f" {words} " if words else " "
 
@@ -113,7 +131,15 @@ def matches(matcher: ahocorasick.Automaton | None, folded: str) -> list[tuple[in
             innocent.append((start, end))
         elif start not in best or weight > best[start][1]:
             best[start] = (term, weight)
-    return [(s, *best[s]) for s in sorted(best) if not any(a <= s and s + len(best[s][0].rstrip()) - 1 <= b for a, b in innocent)]
+    innocent.sort()
+    out, reach, k = [], -1, 0
+    for start in sorted(best):
+        while k < len(innocent) and innocent[k][0] <= start:
+            reach = max(reach, innocent[k][1])  # the farthest end of an exception that begins here or before
+            k += 1
+        if start + len(best[start][0].rstrip()) - 1 > reach:
+            out.append((start, *best[start]))
+    return out
 
 
 def _held_out(column: str = "doc_id"):
@@ -151,7 +177,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     if n > train_rows:
         share = int(train_rows / n * (1 << 30))
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < share)
-    texts = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(known), "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", common.text_of().alias("text")).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")  # one row for each id
 
     def folded(batches):
         for batch in batches:
@@ -179,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     def tally(toxic: bool, wanted: frozenset[str] | None, least: int) -> dict[str, int]:
         part = train.filter((F.col("toxic") > 0) == toxic).select("folded")
         sums = _stream(part, "term string, n long", terms(wanted)).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        return {r.term: r.n for r in sums.orderBy(F.desc("n"), "term").limit(200_000).collect()}
+        return {r.term: r.n for r in sums.collect()}
 
     toxic = tally(True, None, LEAST_TOXIC)
     clean = tally(False, frozenset(toxic), 1)
@@ -204,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             yield p, n * t, n * (1 - t)
 
     sums = _stream(train.select("toxic", "folded"), "phrase string, toxic long, clean long", phrases).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    innocent = sums.filter((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(MOST_EXCEPTIONS)
+    innocent = sums.filter((F.col("clean") >= LEAST_CLEAN) & (F.col("toxic") == 0))
     model.exceptions = frozenset(r.phrase for r in innocent.collect())
 
     def features(batches):
@@ -240,8 +267,7 @@ def _choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         if stem and stem not in exact and toxic[term] >= 0.97 * toxic[stem] and share >= kept[stem][0]:
             exact[stem] = (term, weight, ratio)
     chosen = {t: (w, r) for t, w, r in (exact.get(s, (s, *kept[s][1:])) for s in kept)}
-    best = sorted(chosen, key=lambda t: (-chosen[t][1], t))[:MOST_TERMS]
-    return {t: chosen[t][0] for t in best}
+    return {t: chosen[t][0] for t in sorted(chosen)}
 
 
 def _fit(y: np.ndarray, total: np.ndarray, words: np.ndarray) -> tuple[float, float, float]:

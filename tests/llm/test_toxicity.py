@@ -1,6 +1,7 @@
 """Toxicity: folding, matching against brute force, learning and held-out accuracy."""
 
 import random
+import time
 import zlib
 
 import pytest
@@ -80,3 +81,21 @@ def test_nothing_to_learn(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = tox.learn(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [r.score for r in tox.score(d, model).collect()] == [0.0]
+
+
+def test_long_texts_take_linear_time():
+    began = time.process_time()
+    assert tox.fold("a1 " + "9" * 1_000_000) == " ai "
+    assert tox.fold("9" * 1_000_000 + "1d10t") == " idiot "
+    assert tox.fold("1d10t" + "!" * 1_000_000) == " idiot "
+    model = tox.Model({" ab": 1.0}, frozenset([" ab ab "]))
+    found = tox.matches(model.matcher(), " ab c" * 50_000 + " ab" * 50_000 + " ")
+    assert len(found) == 50_000
+    assert time.process_time() - began < 20
+
+
+def test_rows_that_share_an_id_are_learned_once(spark):
+    docs, labels = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, weight string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert tox.learn(d.unionAll(d), lab).terms == tox.learn(d, lab).terms
