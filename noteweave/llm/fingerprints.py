@@ -6,13 +6,14 @@ bits than above it, between a least and a most length. The fingerprint is the se
 a chunk that repeats counts once. Likeness of two fingerprints is containment weighted by length: the bytes of the
 chunks they share over the bytes of the smaller set.
 
-Neighbours (each document's next by descending id) come from range partitions of the ids: splitters are quantiles of a
-bounded sample, and a copy of the greatest document below each range is sent along with the range, so every task finds
-its neighbours in its own sorted rows.
-
-Defined cases: a null text is an empty one, whose fingerprint is empty; two empty fingerprints are alike (1), an empty
-and another are not (0); null ids come last in descending order; rows that share an id are ordered by text hash; one
-row alone is its own next; an empty table gives no rows; other columns are ignored.
+Neighbours (each document's next by descending id) come from range partitions of the keys (id, text hash, place in the
+files): splitters are quantiles of a bounded sample, and a copy of the greatest document below each range is sent along
+with the range, so every task finds its neighbours in its own sorted rows, whatever ids repeat.
+
+Defined cases: a null text is an empty one, whose fingerprint is empty; a very long text is hashed in overlapping blocks;
+two empty fingerprints are alike (1), an empty and another are not (0); null ids come last in descending order; rows that
+share an id are ordered by text hash, equal rows by their place; one row alone is its own next; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,19 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import common
+from noteweave.llm import common, sharding
 
 #: Chunk lengths in bytes, and the zero bits a boundary needs below and above the normal length.
-LEAST, NORMAL, MOST = 16, 32, 128
-STRICT_BITS, LOOSE_BITS = 6, 4
-#: The accuracy of the quantiles of ids is a fortieth of a range; the number of ranges, whose ends the driver holds.
-SAMPLES, MOST_RANGES = 40, 8192
+LEAST, NORMAL, MOST = 8, 24, 64
+STRICT_BITS, LOOSE_BITS = 5, 3
+#: Keys sampled for each range, and the most ranges, whose ends the driver holds.
+SAMPLES, MOST_RANGES = 20, 8192
 #: Bytes of text hashed at once; longer texts go in blocks that overlap by the gear hash's window.
 BLOCK = 1 << 22
 
 #: The gear table: 32 bits for each byte, from a hash of the byte's value.
 GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear" + bytes([b])).digest()[:4], "little") for b in range(256)], "<u4")
 _WINDOW = 32
+#: Stands for no id.
+FLOOR = -(2**63)
 
 
 def gear(data: bytes) -> np.ndarray:
@@ -134,39 +137,31 @@ _ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa
 
 
 def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, text, ghost) of ``docs`` in ranges of ids, one range to a partition, sorted; before the rows of a range
-    comes, as a ghost, the row that precedes it in ascending order (for the first range, the greatest of all)."""
-    floor = -(2**63)
-    id_ = F.coalesce(F.col(id_column).cast("long"), F.lit(floor))
-    rows = docs.select(id_.alias("id"), common.text_of(text_column).alias("text"))
+    """Rows (id, text, ghost, range) of ``docs`` in ranges of keys, the rows of a range in one partition, sorted; before
+    them comes, as a ghost, the row that precedes them in ascending order (for the first range, the greatest of all)."""
+    place = common.row_place(docs)
+    key = F.struct(F.coalesce(F.col(id_column).cast("long"), F.lit(FLOOR)).alias("h"), F.xxhash64(common.text_of(text_column)).alias("d"), (F.xxhash64(*place[1:]) if place else F.lit(0).cast("long")).alias("o"))
+    rows = docs.select(key.alias("key"), common.text_of(text_column).alias("text"))
     ranges = min(MOST_RANGES, common.partitions_for(docs))
-    found = docs.select(id_.alias("id")).agg(F.count(F.lit(1)).alias("n"), F.approx_percentile("id", F.lit([i / ranges for i in range(1, ranges)] or [0.5]), ranges * SAMPLES).alias("at")).first()
-    splitters = sorted(set(found.at)) if found.n and ranges > 1 else []
-    number = _range_of(F.col("id"), splitters)
+    n = docs.count()
+    if not n:
+        return rows.select("key.h", "text", F.lit(0).alias("ghost"), F.lit(0).alias("range")).withColumnRenamed("h", "id")
+    sample = rows.filter(F.rand(5) < min(1.0, ranges * SAMPLES / n)).select("key.*").collect() if ranges > 1 else []
+    splitters = sharding.quantiles([tuple(r) for r in sample], ranges)
+    number = sharding.range_of(F.col("key"), splitters)
     # ranges have one row each here; the rest is arithmetic on their ends
-    ends = sorted((r.range, r.last) for r in docs.select(id_.alias("id")).groupBy(_range_of(F.col("id"), splitters).alias("range")).agg(F.max("id").alias("last")).collect())
-    to: dict[int, list[int]] = {}
-    for (_, last), (following, _) in zip(ends[-1:] + ends[:-1], ends, strict=True):
-        to.setdefault(last, []).append(following)
-    if not ends:
-        return rows.withColumns({"ghost": F.lit(0), "range": F.lit(0)})
-    ghosts = F.create_map(*[x for last, following in to.items() for x in (F.lit(last).cast("long"), F.array(*map(F.lit, following)))])
-    goes = F.concat(F.array(F.struct(number.alias("range"), F.lit(0).alias("ghost"))), F.transform(F.coalesce(ghosts[F.col("id")], F.array().cast("array<int>")), lambda r: F.struct(r.alias("range"), F.lit(1).alias("ghost"))))
-    sent = rows.select("id", "text", F.inline(goes))
-    return sent.repartitionByRange(len(splitters) + 1, "range").sortWithinPartitions("range", F.desc("ghost"), "id", F.xxhash64("text"))
-
-
-def _range_of(key, splitters: list[int]):
-    """The number of splitters not above ``key``, by binary search."""
-    if not splitters:
-        return F.lit(0)
-    array, n = F.lit(splitters).cast("array<bigint>"), len(splitters)
-
-    def step(at, width):
-        to = at + width
-        return F.when((to <= n) & (F.get(array, F.least(to, F.lit(n)) - 1) <= key), to).otherwise(at)
-
-    return F.aggregate(F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)]), F.lit(0), step)
+    ends = sorted((r.range, tuple(r.last)) for r in rows.groupBy(number.alias("range")).agg(F.max("key").alias("last")).collect())
+    following = {a: b for (a, _), (b, _) in zip(ends, ends[1:] + ends[:1], strict=True)}
+    last = dict(ends)
+    nobody = (FLOOR, 0, 0)
+    lasts = sharding.literal([last.get(k, nobody) for k in range(len(splitters) + 1)])
+    goes_on = F.lit([following.get(k, 0) for k in range(len(splitters) + 1)])
+    placed = rows.withColumn("range", number)
+    ghost = F.when(F.get(lasts, F.col("range")) == F.col("key"), F.array(F.struct(F.get(goes_on, F.col("range")).alias("range"), F.lit(1).alias("ghost"))))
+    goes = F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ghost"))), F.coalesce(ghost, F.array().cast("array<struct<range:int,ghost:int>>")))
+    sent = placed.select("key", "text", F.inline(goes))
+    sent = sent.repartitionByRange(len(splitters) + 1, "range").sortWithinPartitions("range", F.desc("ghost"), "key")
+    return sent.select(F.col("key.h").alias("id"), "text", "ghost", "range")
 
 
 def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -190,7 +185,7 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 changed = edited(text, following)
                 again = chunks if changed == text else chunk_set(changed)
                 sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((None if doc == -(2**63) else doc, len(text), sha, encode_set(chunks), encode_set(again), likeness(chunks, again), likeness(chunks, other)))
+                out.append((None if doc == FLOOR else doc, len(text), sha, encode_set(chunks), encode_set(again), likeness(chunks, again), likeness(chunks, other)))
                 last = (text, chunks)
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
@@ -198,7 +193,7 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    return with_next(docs, id_column, text_column).select("id", "text", "ghost", "range").mapInArrow(run, COMPARED)
+    return with_next(docs, id_column, text_column).mapInArrow(run, COMPARED)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ Records are ordered by key (text hash, id, file order). A sample of keys, each d
 record's size, gives quantile splitters of many fine ranges; each record finds its range by binary search. Ranges that
 turn out overfull are split anew by splitters sampled within them. Sizes are summed by range before anything is
 gathered, a prefix sum places each range in the whole order, and a running sum within the small ranges places each
-record; shard k holds what begins in the k-th equal part of all bytes. So shards differ by about one record, equal
-texts stand side by side, and a group of copies of any size is simply cut where a shard is full.
+record; shard k holds the records whose middles lie in the k-th equal part of all bytes. So a shard misses its share by
+half a record at either end, equal texts stand side by side, and a group of copies of any size is simply cut where a
+shard is full.
 
-Defined cases: a null text counts as empty; null ids come first; repeated rows each take their own slot; an empty table
+Defined cases: a null text counts as empty; a very long text is one record, whose size is the most that shards differ by;
+null ids come first; ties in hash and id are ordered as read; repeated rows each take their own slot; an empty table
 gives no rows; all columns of the input are kept (shard, slot and size replace columns of those names).
 """
 
@@ -33,16 +35,16 @@ OVERSAMPLE = 12
 OVERFULL = 3.0
 
 
-def _literal(splitters: list[tuple[int, int, int]]) -> Column:
+def literal(splitters: list[tuple[int, int, int]]) -> Column:
     kind = "array<struct<h:bigint,d:bigint,o:bigint>>"
     return F.from_json(F.lit("[" + ",".join(f'{{"h":{h},"d":{d},"o":{o}}}' for h, d, o in splitters) + "]"), kind)
 
 
-def _range_of(key: Column, splitters: list[tuple[int, int, int]]) -> Column:
+def range_of(key: Column, splitters: list[tuple[int, int, int]]) -> Column:
     """The number of splitters not above ``key``, by binary search."""
     if not splitters:
         return F.lit(0)
-    array, n = _literal(splitters), len(splitters)
+    array, n = literal(splitters), len(splitters)
     steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)]
 
     def step(at: Column, width: Column) -> Column:
@@ -52,7 +54,7 @@ def _range_of(key: Column, splitters: list[tuple[int, int, int]]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def _quantiles(sample: list[tuple[int, int, int]], ranges: int) -> list[tuple[int, int, int]]:
+def quantiles(sample: list[tuple[int, int, int]], ranges: int) -> list[tuple[int, int, int]]:
     sample = sorted(sample)
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
@@ -72,19 +74,24 @@ def assign(records: DataFrame, shards: int, id_column: str = "doc_id", text_colu
     if not total.n:
         return rows.select("row.*", "size", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     ranges = min(MOST_RANGES, max(LEAST_RANGES, math.ceil(total.n / RANGE_ROWS)))
-    splitters = _quantiles(_sample(rows, F.col("size") * (ranges * OVERSAMPLE / total.bytes), seed), ranges)
+    splitters = quantiles(_sample(rows, F.col("size") * (ranges * OVERSAMPLE / total.bytes), seed), ranges)
     key = F.struct("h", "d", "o")
-    sums = rows.groupBy(_range_of(key, splitters).alias("range")).agg(F.sum("size").alias("bytes"))
-    over = sums.filter(F.col("bytes") > OVERFULL * total.bytes / ranges).collect()  # MOST_RANGES rows at most
-    if over:
-        chances = F.coalesce(F.create_map(*[x for r in over for x in (F.lit(r.range), F.lit(OVERSAMPLE * ranges / total.bytes * 2))])[_range_of(key, splitters)], F.lit(0.0))
-        extra = _sample(rows, F.col("size") * chances, seed + 1)
-        number = {r.range: math.ceil(r.bytes * ranges / total.bytes) for r in over}
+    while True:  # ranges that are overfull are split, and looked at again
+        sums = rows.groupBy(range_of(key, splitters).alias("range")).agg(F.sum("size").alias("bytes"))
+        over = sums.filter(F.col("bytes") > OVERFULL * total.bytes / ranges).collect()  # ranges / OVERFULL rows at most
+        if not over:
+            break
+        chances = F.coalesce(F.get(F.lit([float(OVERSAMPLE * 2 * ranges / total.bytes) if k in {r.range for r in over} else 0.0 for k in range(len(splitters) + 1)]), range_of(key, splitters)), F.lit(0.0))
+        seed += 1
         parts: dict[int, list[tuple[int, int, int]]] = {}
-        for k in extra:
+        for k in _sample(rows, F.col("size") * chances, seed):
             parts.setdefault(bisect_right(splitters, k), []).append(k)
-        splitters = sorted({*splitters, *(s for r, keys in parts.items() for s in _quantiles(keys, number[r]))})
-    ranged = rows.withColumn("range", _range_of(key, splitters))
+        number = {r.range: math.ceil(r.bytes * ranges / total.bytes) for r in over}
+        more = sorted({*splitters, *(s for r, keys in parts.items() for s in quantiles(keys, number[r]))})
+        if len(more) == len(splitters):
+            break  # single records that are larger than a range
+        splitters = more
+    ranged = rows.withColumn("range", range_of(key, splitters))
     sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range: bounded by the splitters
     bases = sums.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
@@ -92,7 +99,7 @@ def assign(records: DataFrame, shards: int, id_column: str = "doc_id", text_colu
     placed = (
         ranged.join(F.broadcast(bases), "range")
         .withColumn("begin", F.col("base") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("shard", F.least(F.floor(F.col("begin") * F.lit(float(shards)) / F.lit(float(total.bytes))), F.lit(shards - 1)).cast("int"))
+        .withColumn("shard", F.least(F.floor((F.col("begin") + F.col("size") / 2) * F.lit(float(shards)) / F.lit(float(total.bytes))), F.lit(shards - 1)).cast("int"))
         .withColumn("place", F.row_number().over(Window.partitionBy("range", "shard").orderBy("h", "d", "o")).cast("long"))
     )
     placed = common.materialise(placed, "placed")

@@ -66,3 +66,21 @@ def test_small_tables(spark, rows):
     assert len(got) == len(rows) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     if len(rows) == 1:
         assert got[0].near_next == 1.0
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    rows = [(7, f"text {k % 50} of one id " * (1 + k % 3)) for k in range(2000)] + [(None, "no id")] * 500 + [(k, "w" * k) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    sent = fp.with_next(spark.read.parquet(f"{tmp_path}/docs"))
+    sizes = {r.range: r["count"] for r in sent.filter("ghost = 0").groupBy("range").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < len(rows) / 2
+    got = fp.compare_edits(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 500
+    texts = {t: fp.encode_set(fp.chunk_set(t)) for _, t in rows}
+    assert {r.fingerprint for r in got if r.doc_id == 7} == {texts[t] for i, t in rows if i == 7}
+
+
+def test_fingerprint_of_each_row(spark):
+    rows = [(1, "one text " * 9), (2, None), (None, ""), (1, "a" * 100_000)]
+    got = fp.fingerprint(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars int")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, len(t or ""), fp.encode_set(fp.chunk_set(t or ""))) for i, t in rows), key=str)
