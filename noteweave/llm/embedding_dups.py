@@ -9,7 +9,8 @@ and a spanning forest of its links, never its pairs.
 
 Defined cases: null, zero, or non-finite vectors, vectors with null components and rows without a label link with
 nothing and are their own component; vectors of other lengths are not compared; repeated rows are linked copies; a row
-without an id counts, but is never named as a component unless it stands alone; an empty table gives no rows.
+without an id counts, but is never named as a component unless it stands alone; ties at the threshold are links; an
+empty table gives no rows; other columns, a text of any length among them, are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from noteweave.llm.components import connected_components
 THRESHOLD = 0.93
 #: Classes of one block.
 BLOCK = 2048
-#: Vectors of one label and length sent to a tile stay below twice this; so do the labels sent to all executors.
-BROADCAST_GROUPS = 50_000
 #: Longest vectors whose int8 products float32 sums hold exactly.
 EXACT_DIM = (1 << 24) // (127 * 127)
 
@@ -70,15 +69,18 @@ def classes_of(vectors: DataFrame, id_column: str, vector_column: str, label_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, classes, packed = [], [], []
-            for label, vector in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ok = label is not None and bool(vector) and None not in vector
-                x = np.array(vector, "<f8") + 0.0 if ok else np.zeros(1)
-                ok = ok and bool(np.isfinite(x).all()) and bool(x.any())
+            column = batch.column(2)
+            # all components of the batch as one array; nulls within vectors become NaN, so they are not finite
+            flat = column.values.fill_null(np.nan).to_numpy(zero_copy_only=False)
+            ends = column.offsets.to_numpy()
+            for label, given, at, to in zip(batch.column(1).to_pylist(), column.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                x = flat[at:to] + 0.0  # no negative zeros
+                ok = label is not None and given and bool(np.isfinite(x).all()) and bool(x.any())
                 if ok:  # lengths stay within doubles; a power of two changes no digit
-                    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+                    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).astype("<f8", copy=False)
                 data = x.tobytes() if ok else None
                 dims.append(len(x) if ok else None)
-                classes.append(xxhash.xxh3_128_digest(data + b"|" + str(label).encode()) if ok else None)
+                classes.append(xxhash.xxh3_128_digest(data + b"|" + label.encode()) if ok else None)
                 packed.append(data)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(classes, pa.binary()), pa.array(packed, pa.binary())], names=["id", "label", "dim", "class", "vector"])
 
@@ -93,9 +95,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     # copies meet as one row from each task
     classes = common.materialise(known.groupBy("class").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")), "classes")
     counts = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    if counts.count() <= BROADCAST_GROUPS:
-        counts = F.broadcast(counts)
-    dealt = classes.join(counts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = common.attach(classes, counts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = each.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "copies", "vector")
     tiles = tiles.repartition(max(common.partitions_for(classes), 1), "label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j", "block", "class")
@@ -126,8 +126,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     links = found.filter(F.col("v").isNull()).groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("n"))
     components = connected_components(found.filter(F.col("v").isNotNull()).select("u", "v"))
     placed = classes.select("class", "copies", "least").join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = common.materialise(placed, "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").join(links, "class", "left").select("class", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = common.attach(placed, least, ["component"]).join(links, "class", "left").select("class", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     done = rows.select(F.col("id").alias("vec_id"), "class").join(named, "class", "left")
     done = done.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

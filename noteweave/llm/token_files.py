@@ -1,19 +1,25 @@
 """Token-id files: flat unsigned integers and 64-bit document offsets, in ascending document order.
 
-Documents are range-partitioned by (id, text hash); each task writes one shard: ``NAME.bin`` (ids of all its documents,
+Documents are range-partitioned by (id, text hash, place in the files they are read from); each task writes one shard: ``NAME.bin`` (ids of all its documents,
 16 bits wide where the vocabulary allows, else 32), ``NAME.off`` (n + 1 unsigned 64-bit token offsets within the shard)
 and ``NAME.doc`` (n signed 64-bit document ids). The first token of a shard in the whole corpus, its base, is the prefix
-sum of the shards' counts; the manifest holds one row for each shard. Readers map the files into memory.
+sum of the shards' counts; the manifest holds one row for each shard. Readers map the files into memory; a file in a
+store that has no local files is first copied to the reading task's own scratch file, a block at a time, and mapped there.
 
-Files appear under their own names only when complete, so a task that runs again just replaces them.
+Files appear under their own names only when complete, so a task that runs again just replaces them; what attempts that
+failed have left is removed when the manifest is written.
 
-Defined cases: a null text is an empty one and gives the end id alone; null ids come first and stay null; rows that
-share an id are ordered by text; an empty table gives no shards; other columns are ignored.
+Defined cases: a null text is an empty one and gives the end id alone; a very long text is encoded whole; null ids come
+first and stay null; rows that share an id are ordered by the hash of their text, equal rows by their place; an empty
+table gives no shards; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import mmap
+import shutil
+import tempfile
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -57,8 +63,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_column:
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), common.text_of(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(common.partitions_for(docs), "doc", "tie").sortWithinPartitions("doc", "tie").drop("tie")
+    place = common.row_place(docs)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc"), common.text_of(text_column).alias("text"), (F.xxhash64(*place[1:]) if place else F.monotonically_increasing_id()).alias("place")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(common.partitions_for(docs), "doc", "tie", "place").sortWithinPartitions("doc", "tie", "place").select("doc", "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
@@ -99,6 +106,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_column:
         row["base"] = base
         base += row["n_tokens"]
     _put(fs, f"{root}/manifest.json", 0, lambda out: out.write(json.dumps(shards).encode()))
+    for found in fs.get_file_info(pafs.FileSelector(root)):
+        if found.type == pafs.FileType.File and found.base_name.rpartition(".")[2].isdigit():
+            fs.delete_file(found.path)  # of an attempt that failed
     return shards
 
 
@@ -112,12 +122,15 @@ def manifest(folder: str) -> list[dict]:
 
 
 def _mapped(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The file as an array: mapped into memory where it is local to the machine, else read."""
+    """The file as an array mapped into memory, from a scratch copy where its store has no local files."""
     if isinstance(fs, pafs.LocalFileSystem):
-        source = pa.memory_map(path)
-        return np.frombuffer(source.read_buffer(), kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), kind)
+        return np.frombuffer(pa.memory_map(path).read_buffer(), kind)
+    with tempfile.TemporaryFile() as scratch:  # goes with the map
+        with fs.open_input_stream(path) as f:
+            shutil.copyfileobj(f, scratch, 1 << 22)
+        size = scratch.tell()
+        scratch.flush()
+        return np.frombuffer(mmap.mmap(scratch.fileno(), size, access=mmap.ACCESS_READ) if size else b"", kind)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
