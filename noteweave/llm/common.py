@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +95,35 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return rows.join(F.broadcast(bases), at).withColumn(name, F.col("_base") + F.col(spot)).drop(at, spot, "_base")
 
 
+#: What Python workers keep between tasks, by operator: how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """An operator keeps tables in its workers while its tasks follow one another; ``forget`` empties them."""
+    _kept[operator] = forget
+
+
+def begin(operator: str) -> None:
+    """At the start of a task in a Python worker: what other operators have left in it goes."""
+    others = [forget for name, forget in _kept.items() if name != operator]
+    for forget in others:
+        forget()
+    release()
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the machine, which other workers and the JVM share."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -67,6 +67,7 @@ def classes_of(vectors: DataFrame, id_column: str, vector_column: str, label_col
     """Rows (id, label, dim, class, vector) of ``vectors``; class and vector are null where nothing can be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("embedding_dups")
         for batch in batches:
             dims, classes, packed = [], [], []
             column = batch.column(2)

@@ -14,8 +14,10 @@ from array import array
 
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from noteweave.llm import common
+
 #: Pieces held by one worker; the table starts anew beyond it. Longer pieces are not held.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
+MEMO_PIECES, MEMO_CHARS = 300_000, 64
 #: Runs of Latin letters; both vocabularies split between such a run and ASCII signs, digits or white space.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Such runs, each with the blank before it, and what stands between them.
@@ -79,11 +81,14 @@ class PieceEncoder:
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
+common.keeps("encoding", _encoders.clear)
 
 
 def encoder(path: str, width: int) -> PieceEncoder:
-    """One for each worker process."""
+    """The worker process's own; it keeps one at a time, while tasks that encode follow one another."""
+    common.begin("encoding")
     key = (path, width)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = PieceEncoder(*key)
     return _encoders[key]

@@ -168,6 +168,7 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Each document against its edit by the next document, and against the next document (descending ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("fingerprints")
         last: tuple[str, dict[int, int]] | None = None
         at = None
         for batch in batches:

@@ -146,10 +146,12 @@ def byte_letters() -> list[int]:
 
 
 _counters: dict[str, TokenCounter] = {}
+common.keeps("counts", _counters.clear)
 
 
 def counter(path: str) -> TokenCounter:
-    """One for each worker process."""
+    """The worker process's own, while tasks that count follow one another."""
+    common.begin("counts")
     if path not in _counters:
         _counters[path] = TokenCounter(path)
     return _counters[path]

@@ -44,6 +44,8 @@ TRAIN_ROWS = 24_000
 LEAST_TOXIC, LEAST_SHARE = 7, 0.8
 #: An exception occurs in so many different documents, none of them toxic.
 LEAST_CLEAN = 3
+#: Texts scored at once.
+BATCH_ROWS = 500
 #: Letters of a stem.
 STEM = range(3, 9)
 #: Log-likelihood ratio that a term needs.
@@ -158,8 +160,10 @@ def _stream(df: DataFrame, schema: str, rows) -> DataFrame:
     kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity")
         out: list[tuple] = []
-        for row in rows(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches):
+        parts = (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+        for row in rows(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in parts):
             out.append(row)
             if len(out) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -293,8 +297,9 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", hits: bool =
     (text,) = common.fresh(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("toxicity")
         matcher = model.matcher()
-        for batch in batches:
+        for batch in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             out: list[list] = [[], [], [], []]
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 folded = fold(text)
