@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noteweave.functions import front
+
+#: Line breaks, URL parameters that only track, and the line formats of notes: check boxes, link targets,
+#: mentions, relations, list items by project, and characters that file names lack.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 TRACKING = "^(utm_.*|ref|src|gh_src|lever-origin)$"
+TASK = r"^\s*[-*] \[([ xX])\] (.+)$"
+LINK = r"\[\[([^\]|#]+)"
+MENTION = r"^- \[\[([^\]|]+)\|[^\]]+\]\](?:\s+[—-]\s+(.*))?$"
+RELATION = r"(?U)^- (\w+) \[\[([^\]|]+)\|[^\]]+\]\]$"
+NOT_IN_NAMES, NOT_IN_FILES = r'[\\/:*?"<>|\[\]#^`]', r'[\\/:*?"<>|\x00-\x1f]'
 
 
 def tokenize(text: Column) -> Column:
@@ -57,16 +68,13 @@ def body(text: Column) -> Column:
 
 
 def front_value(text: Column, key: str) -> Column:
-    """A scalar of the front matter, by its key at a line's start."""
-    return F.regexp_extract(front_matter(text), rf"(?m)^{key}:[ \t]*(.*)$", 1)
+    """A scalar of the front matter as text; empty where it is absent or null."""
+    return F.coalesce(front.value(front.meta(text), key), F.lit(""))
 
 
 def front_list(text: Column, key: str) -> Column:
-    """An inline list of the front matter, or a scalar as a list of one; empty without it."""
-    raw = F.trim(front_value(text, key))
-    inner = F.regexp_replace(raw, r"^\[|\]$", "")
-    items = F.transform(F.split(inner, ","), lambda x: F.trim(x))
-    return F.when(raw == "", F.array().cast("array<string>")).otherwise(F.filter(items, lambda x: x != ""))
+    """A list of the front matter, or a scalar as a list of one; empty without it."""
+    return front.values(front.meta(text), key)
 
 
 def excerpt(text: Column, path: Column, query: str, cut: int = 120) -> Column:
@@ -84,15 +92,14 @@ def body_excerpt(text: Column, cut: int = 400) -> Column:
 
 def wikilinks(text: Column) -> Column:
     """Folded stems of the link targets of a text."""
-    targets = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
+    targets = F.regexp_extract_all(text, F.lit(LINK), F.lit(1))
     return F.transform(targets, lambda t: F.lower(F.trim(F.element_at(F.split(t, "/"), -1))))
 
 
 def tasks(text: Column) -> Column:
     """Check-box lines as structs of done and task, in order."""
-    pattern = r"^\s*[-*] \[([ xX])\] (.+)$"
-    found = F.filter(lines(text), lambda x: x.rlike(pattern))
-    return F.transform(found, lambda x: F.struct((F.lower(F.regexp_extract(x, pattern, 1)) == "x").alias("done"), F.regexp_extract(x, pattern, 2).alias("task")))
+    found = F.filter(lines(text), lambda x: x.rlike(TASK))
+    return F.transform(found, lambda x: F.struct((F.lower(F.regexp_extract(x, TASK, 1)) == "x").alias("done"), F.trim(F.regexp_extract(x, TASK, 2)).alias("task")))
 
 
 def heading(text: Column, path: Column) -> Column:
@@ -110,21 +117,26 @@ def section_lines(text: Column, header: str) -> Column:
 
 def mention_line(line: Column) -> Column:
     """(target, evidence) of a line ``- [[target|name]] - evidence``."""
-    pattern = r"^- \[\[([^\]|]+)\|[^\]]+\]\](?:\s+[—-]\s+(.*))?$"
-    return F.struct(F.regexp_extract(line, pattern, 1).alias("target"), F.regexp_extract(line, pattern, 2).alias("evidence"))
+    return F.struct(F.regexp_extract(line, MENTION, 1).alias("target"), F.regexp_extract(line, MENTION, 2).alias("evidence"))
 
 
 def relation_line(line: Column) -> Column:
     """(rel, target) of a line ``- rel [[target|name]]``."""
-    pattern = r"(?U)^- (\w+) \[\[([^\]|]+)\|[^\]]+\]\]$"
-    return F.struct(F.regexp_extract(line, pattern, 1).alias("rel"), F.regexp_extract(line, pattern, 2).alias("target"))
+    return F.struct(F.regexp_extract(line, RELATION, 1).alias("rel"), F.regexp_extract(line, RELATION, 2).alias("target"))
+
+
+def _link_to(path: str) -> str:
+    return r"\[\[" + re.escape(path) + r"(?=[\]|#])"
 
 
 def relink(text: Column, old: str, new: str) -> Column:
     """Links to a path rewritten to another."""
-    import re
+    return F.regexp_replace(text, _link_to(old), ("[[" + new).replace("\\", "\\\\").replace("$", "\\$"))
+
 
-    return F.regexp_replace(text, r"\[\[" + re.escape(old) + r"(?=[\]|#])", ("[[" + new).replace("\\", "\\\\").replace("$", "\\$"))
+def link_count(text: Column, path: str) -> Column:
+    """Links that ``relink`` would rewrite."""
+    return F.regexp_count(text, F.lit(_link_to(path)))
 
 
 def norm(text: Column) -> Column:
@@ -133,15 +145,21 @@ def norm(text: Column) -> Column:
 
 
 def safe_name(text: Column) -> Column:
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|\[\]#^`]', ""), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text, NOT_IN_NAMES, ""), r"\s+", " "))
     return F.when(clean == "", F.lit("untitled")).otherwise(clean)
 
 
 def file_name(text: Column, cut: int = 120) -> Column:
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|\[\]#^`]', "-"), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text, NOT_IN_FILES, "-"), r"\s+", " "))
     return F.rtrim(F.substring(clean, 1, cut))
 
 
+def render(template: str, columns: list[str]) -> Column:
+    """A template like ``{name} - {place}`` filled with columns (null as nothing), as a file name."""
+    parts = [F.coalesce(F.col(p[1:-1]).cast("string"), F.lit("")) if p[:1] == "{" and p[1:-1] in columns else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+    return file_name(F.concat(*parts) if parts else F.lit(""))
+
+
 def normalize_link(url: Column) -> Column:
     """A URL with scheme and host in lower case, no trailing slash, fragment or tracking parameters, parameters sorted."""
     clean = F.trim(url)
@@ -155,6 +173,32 @@ def normalize_link(url: Column) -> Column:
     return F.concat(head, F.when(path == "", F.lit("/")).otherwise(path), F.when(params == "", F.lit("")).otherwise(F.concat(F.lit("?"), params)))
 
 
+def entity_summary(text: Column) -> Column:
+    """The body up to the mentions without headings of the first level: the lines of a summary."""
+    kept = F.filter(lines(F.substring_index(body(text), "## Mentions", 1)), lambda x: ~x.startswith("# "))
+    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", ""))
+
+
+def identity(name: Column, aliases: Column, summary: Column) -> Column:
+    """The text that stands for an entity when it is embedded: name, aliases and summary, a line each."""
+    return F.regexp_replace(F.concat_ws("\n", name, F.array_join(aliases, ","), summary), r"^\s+|\s+$", "")
+
+
+def listing(kind: Column, name: Column, aliases: Column) -> Column:
+    """An entity's line in a list for an adjudicator."""
+    return F.concat_ws(" | ", kind, name, F.when(F.size(aliases) > 0, F.array_join(aliases, ", ")).otherwise("-"))
+
+
+def project_of(path: str) -> str:
+    """The project that a working folder stands for: its last component, by either separator."""
+    return re.split(r"[\\/]", path.rstrip("\\/"))[-1]
+
+
+def state_key(path: Column) -> Column:
+    """The name of a vault's state folder."""
+    return F.substring(F.sha2(path.cast("binary"), 256), 1, 12)
+
+
 def last_error(text: Column, cut: int = 300) -> Column:
     """The last line that names an error, cut; else the text's end."""
     hit = F.filter(lines(text), lambda x: x.rlike(r"(?i)\b(ERROR|FATAL)\b"))

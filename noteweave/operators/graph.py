@@ -35,16 +35,33 @@ def note_entities(mentions: DataFrame, note: str) -> DataFrame:
 def related_notes(mentions: DataFrame, edges: DataFrame, note: str, hops: int = 2) -> DataFrame:
     """(note, depth, via): notes that mention an entity within ``hops`` - 1 edges of the note's own, by the first chain
     that reaches them (fewest edges, then entity names in order)."""
-    reached = note_entities(mentions, note).select("entity", F.lit(0).alias("depth"), F.col("entity").alias("via"))
+    seed = mentions.sparkSession.createDataFrame([(note,)], "seed string")
+    return related_of(mentions, edges, seed, hops).drop("seed")
+
+
+def related_of(mentions: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, note, depth, via): as ``related_notes`` for each of a few notes ``seeds`` (seed)."""
+    own = mentions.join(F.broadcast(seeds), mentions["note"] == seeds["seed"]).select("seed", "entity").distinct()
+    reached = own.select("seed", "entity", F.lit(0).alias("depth"), F.col("entity").alias("via"))
     both = edges.select("src", "rel", "dst").union(edges.select("dst", "rel", "src")).distinct()
     frontier = reached
     for depth in range(1, max(0, hops - 1) + 1):
-        step = frontier.join(both.withColumnRenamed("src", "entity"), "entity").select(F.col("dst").alias("entity"), F.lit(depth).alias("depth"), F.concat("via", F.lit(" ("), "rel", F.lit(") "), "dst").alias("via"))
-        step = step.join(reached.select("entity"), "entity", "left_anti").groupBy("entity").agg(F.min("depth").alias("depth"), F.min("via").alias("via"))
+        step = frontier.join(both.withColumnRenamed("src", "entity"), "entity").select("seed", F.col("dst").alias("entity"), F.lit(depth).alias("depth"), F.concat("via", F.lit(" ("), "rel", F.lit(") "), "dst").alias("via"))
+        step = step.join(reached.select("seed", "entity"), ["seed", "entity"], "left_anti").groupBy("seed", "entity").agg(F.min("depth").alias("depth"), F.min("via").alias("via"))
         frontier = written(step, "frontier")
         reached = written(reached.union(frontier), "reached")
-    hits = mentions.join(reached, "entity").filter(F.col("note") != note)
-    return hits.groupBy("note").agg(F.min(F.struct("depth", "via")).alias("_first")).select("note", "_first.depth", "_first.via")
+    hits = mentions.join(reached, "entity").filter(F.col("note") != F.col("seed"))
+    return hits.groupBy("seed", "note").agg(F.min(F.struct("depth", "via")).alias("_first")).select("seed", "note", "_first.depth", "_first.via")
+
+
+def context_bundle(hits: DataFrame, mentions: DataFrame, edges: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Of a search's ``hits`` (path, rank): (entity, first_hit, hits) of the entities they mention, and (note, first_hit,
+    depth, via) of the notes related to them, each by the first hit that leads to it."""
+    hits = written(hits.select(F.col("path").alias("note"), "rank"), "hits")
+    entities = mentions.join(F.broadcast(hits), "note").groupBy("entity").agg(F.min("rank").alias("first_hit"), F.count_distinct("note").alias("hits"))
+    found = related_of(mentions, edges, hits.select(F.col("note").alias("seed")), hops).join(F.broadcast(hits.withColumnsRenamed({"note": "seed", "rank": "first_hit"})), "seed")
+    first = found.groupBy("note").agg(F.min(F.struct("first_hit", "depth", "via")).alias("_first"))
+    return entities, first.select("note", "_first.first_hit", "_first.depth", "_first.via")
 
 
 def graph_stats(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,14 +126,30 @@ def orphans(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataF
     return entities.join(used, "path", "left_anti")
 
 
+def retirements(entities: DataFrame, mentions: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(path) of the entities to be retired now: those that are orphans still, of ``wanted`` (path) if it is given."""
+    found = orphans(entities, mentions, edges).select("path")
+    return found if wanted is None else found.join(wanted.select("path").distinct(), "path", "left_semi")
+
+
 def orphaned_mentions(mentions: DataFrame, notes: DataFrame) -> DataFrame:
     return mentions.join(notes.select(F.col("path").alias("note")), "note", "left_anti")
 
 
-def retract_deleted(mentions: DataFrame, tracked: DataFrame, current: DataFrame, most: int = 100) -> DataFrame:
-    """Mentions without those of the first ``most`` tracked notes that are gone."""
-    gone = tracked.select("path").distinct().join(current.select("path"), "path", "left_anti").orderBy("path").limit(most)
-    return mentions.join(F.broadcast(gone.withColumnRenamed("path", "note")), "note", "left_anti")
+def gone_notes(hashes: DataFrame, failures: DataFrame, current: DataFrame) -> DataFrame:
+    """(path) of notes that the manifest has, by hash or by failure, and that are no more."""
+    return hashes.select("path").union(failures.select("path")).distinct().join(current.select("path"), "path", "left_anti")
+
+
+def retract_deleted(mentions: DataFrame, hashes: DataFrame, failures: DataFrame, current: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(mentions, hashes, failures) without those of the first ``most`` notes that are gone, and one row of counts:
+    retracted_notes, removed_mentions, remaining."""
+    gone = gone_notes(hashes, failures, current)
+    todo = F.broadcast(written(gone.orderBy("path").limit(most), "gone"))
+    removed = mentions.join(todo.withColumnRenamed("path", "note"), "note", "left_semi").agg(F.count(F.lit(1)).alias("removed_mentions"))
+    n = gone.agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("retracted_notes"), F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("remaining"))
+    left = [t.join(todo if c == "path" else todo.withColumnRenamed("path", c), c, "left_anti") for t, c in ((mentions, "note"), (hashes, "path"), (failures, "path"))]
+    return *left, n.join(F.broadcast(removed)).select("retracted_notes", "removed_mentions", "remaining")
 
 
 def merge_entities(entities: DataFrame, mentions: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

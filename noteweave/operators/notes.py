@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteweave.functions import front
 from noteweave.functions import text as tx
 
 
@@ -23,12 +26,17 @@ def in_folder(notes: DataFrame, folder: str) -> DataFrame:
 def query_notes(notes: DataFrame, tags: list[str] | None = None, project: str | None = None, folder: str | None = None) -> DataFrame:
     """Notes by tags, project and folder; without any, those with front matter."""
     if not tags and project is None and folder is None:
-        return notes.filter(tx.front_matter(F.col("text")) != "")
+        return notes.filter(F.size(F.json_object_keys(F.to_json(front.meta(F.col("text"))))) > 0)
+    if folder is not None:
+        notes = in_folder(notes, folder)
     if tags:
         notes = with_tags(notes, tags)
     if project is not None:
-        notes = notes.filter(F.lower(tx.front_value(F.col("text"), "project")) == project.lower())
-    return notes if folder is None else in_folder(notes, folder)
+        found = front.meta(F.col("text"))
+        given = F.try_variant_get(found, "$.project", "variant")
+        name = F.when(F.schema_of_variant(given) == "VOID", "none").otherwise(F.lower(F.coalesce(front.value(found, "project"), F.lit(""))))  # null is spelt out
+        notes = notes.filter(name == project.lower())
+    return notes
 
 
 def title_search(notes: DataFrame, words: str, limit: int) -> DataFrame:
@@ -36,6 +44,16 @@ def title_search(notes: DataFrame, words: str, limit: int) -> DataFrame:
     return notes.filter(hit).orderBy(tx.path_key(F.col("path"))).limit(limit)
 
 
+def search_lines(notes: DataFrame, words: str, limit: int) -> DataFrame:
+    """(path, line, number) of the first ``limit`` lines, by path and place, that hold ``words``; a note whose title does
+    comes once before its lines, with ``(title match)`` as line 0."""
+    wanted = F.lit(words.lower())
+    title = F.when(F.contains(F.lower(tx.stem(F.col("path"))), wanted), F.array(F.struct(F.lit(0).alias("number"), F.lit("(title match)").alias("line")))).otherwise(F.array().cast("array<struct<number:int,line:string>>"))
+    every = F.transform(tx.lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("number"), F.trim(x).alias("line")))
+    hits = F.concat(title, F.filter(every, lambda x: F.contains(F.lower(x["line"]), wanted)))
+    return notes.select("path", F.inline(hits)).orderBy(tx.path_key(F.col("path")), "number").limit(limit)
+
+
 def backlinks(notes: DataFrame, target: str) -> DataFrame:
     """Other notes with a link to the target's stem, each once."""
     stem = target.rsplit("/", 1)[-1].removesuffix(".md").lower()
@@ -52,6 +70,13 @@ def list_recent(notes: DataFrame, time: str, key: str, n: int) -> DataFrame:
     return notes.orderBy(F.desc(time), F.desc(key)).limit(n)
 
 
+def since(rows: DataFrame, time: str, day: str) -> DataFrame:
+    """Rows from the day ``YYYY-MM-DD`` on."""
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day):
+        raise ValueError(f"since must be YYYY-MM-DD: {day!r}")
+    return rows.filter(F.col(time) >= F.to_timestamp(F.lit(day), "yyyy-MM-dd"))
+
+
 def since_days(rows: DataFrame, time: str, days: int) -> DataFrame:
     """Rows of the last days before the latest one."""
     latest = rows.agg(F.max(time).alias("_latest"))

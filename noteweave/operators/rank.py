@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25L, vectors, substrings, and their fusion by reciprocal ranks.
 
-A keyword query costs one pass for the corpus statistics, a single row, and one for the scores; nothing is shuffled but
-partial sums and the best rows of each task.
+A keyword query reads the texts once: the query's terms are counted in each, and the counts, a narrow table, give the
+corpus statistics (a single row) and the scores. Nothing is shuffled but partial sums and the best rows of each task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from noteweave.functions import text as tx
 from noteweave.functions.vectors import cosine
+from noteweave.operators.storage import written
 
 DEPTH, RRF_K = 50, 60
 K1, B, DELTA = 1.5, 0.75, 0.5
@@ -24,17 +25,21 @@ def query_tokens(query: str) -> list[str]:
     return re.findall("[a-z0-9]+", query.lower())
 
 
-def _occurrences(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+def _counts(text: Column, names: list[str]) -> dict[str, Column]:
+    """The number of tokens of a text, and of those that are each of ``names``."""
+    low = F.lower(text)
+    alone = {f"_tf{i}": F.regexp_count(low, F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")) for i, t in enumerate(names)}
+    return {"_dl": F.regexp_count(low, F.lit("[a-z0-9]+")), **alone}
 
 
-def bm25l(notes: DataFrame, query: str, depth: int = DEPTH, tie: str = "path", by: str | None = None) -> DataFrame:
-    """``notes`` (path, text) with score and rank, best first. Statistics are those of ``notes`` as filtered; a token
-    that the query repeats counts as often. ``by``: ranks and depth hold within each value of that column."""
+def bm25l(notes: DataFrame, query: str, depth: int = DEPTH, tie: str = "path", by: str | None = None, tf_factor: bool = True) -> DataFrame:
+    """``notes`` (path, text) without the text, with score and rank, best first. Statistics are those of ``notes`` as
+    filtered; a token that the query repeats counts as often. ``by``: ranks and depth hold within each value of that
+    column. ``tf_factor``: whether a term's weight is multiplied by its count, or only counts where it occurs."""
     terms = query_tokens(query)
     names = list(dict.fromkeys(terms))
-    tokens = notes.withColumn("_t", tx.tokenize(F.col("text"))).withColumn("_dl", F.size("_t"))
-    counted = tokens.withColumns({f"_tf{i}": _occurrences(F.col("_t"), t) for i, t in enumerate(names)}).drop("_t")
+    kept = [c for c in notes.columns if c != "text"]
+    counted = written(notes.select(*kept, *[c.alias(n) for n, c in _counts(F.col("text"), names).items()]), "term-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(names))])
     norm = 1 - B + B * F.col("_dl") / F.col("_avg")
     parts = []
@@ -43,10 +48,12 @@ def bm25l(notes: DataFrame, query: str, depth: int = DEPTH, tie: str = "path", b
         tf = F.col(f"_tf{i}")
         c = tf / norm
         idf = F.log(F.col("_n") + 1.0) - F.log(F.col(f"_df{i}") + 0.5)
-        parts.append(F.when(tf > 0, idf * tf * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)).otherwise(F.lit(0.0)))
+        weight = idf * tf if tf_factor else idf
+        parts.append(F.when(tf > 0, weight * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)).otherwise(F.lit(0.0)))
     score = reduce(lambda a, b: a + b, parts, F.lit(0.0))
-    scored = counted.join(F.broadcast(stats)).withColumn("score", score).filter(F.col("score") > 0)  # one row of statistics
-    return ranked(scored.select(*notes.columns, "score"), [F.round("score", 9).desc(), tx.path_key(F.col(tie))], depth, by)
+    found = counted.filter(reduce(lambda a, b: a | b, [F.col(f"_tf{i}") > 0 for i in range(len(names))], F.lit(False)))
+    scored = found.join(F.broadcast(stats)).withColumn("score", score).filter(F.col("score") > 0)  # one row of statistics
+    return ranked(scored.select(*kept, "score"), [F.round("score", 9).desc(), tx.path_key(F.col(tie))], depth, by)
 
 
 def ranked(rows: DataFrame, order: list[Column], depth: int, by: str | None = None) -> DataFrame:
@@ -86,10 +93,11 @@ def rrf_order() -> list[Column]:
     return [F.round("score", 12).desc(), F.col("first_list"), F.col("first_rank")]
 
 
-def hybrid(notes: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, limit: int = 20) -> DataFrame:
-    """(rank, path, excerpt): keyword and vector ranks fused; substrings stand in where no keyword matches."""
-    words = bm25l(notes, query)
+def hybrid(notes: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, limit: int = 20, tie: str = "path") -> DataFrame:
+    """(rank, path, excerpt): keyword and vector ranks fused; substrings stand in where no keyword matches. ``tie`` is the
+    column of ``notes`` that orders equal keyword scores."""
+    words = written(bm25l(notes, query, tie=tie).select("path", "rank"), "keyword-lane")  # DEPTH rows
     near = vector_rank(vectors.join(notes.select("path"), "path", "left_semi"), query_vector)
-    fused = rrf([words, near, gated(substring_rank(notes, query), words)])
-    best = ranked(fused, rrf_order(), limit).select("path", "rank")
+    lanes = [words, near] if not words.isEmpty() else [words, near, substring_rank(notes, query)]
+    best = ranked(rrf(lanes), rrf_order(), limit).select("path", "rank")
     return notes.join(F.broadcast(best), "path").select("rank", "path", tx.excerpt(F.col("text"), F.col("path"), query).alias("excerpt"))

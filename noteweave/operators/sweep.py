@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RETAINED, MOST_PENDING = 30, 200
 
 
-def run_steps(steps: dict[str, Callable[[], dict]]) -> dict[str, dict]:
-    """Each step's result, or its error; a failing step does not stop the others."""
-    out = {}
-    for name, step in steps.items():
-        try:
-            out[name] = step()
-        except Exception as e:  # noqa: BLE001  the report says what went wrong
-            out[name] = {"error": f"{type(e).__name__}: {e}"[:300]}
-    return out
+@dataclass
+class Step:
+    """What a step gave: its numbers, or what went wrong."""
 
+    name: str
+    numbers: dict[str, int] = field(default_factory=dict)
+    error: str | None = None
 
-def report_lines(results: dict[str, dict]) -> list[str]:
-    return [f"{'⚠' if 'error' in r or r.get('faults') else '✓'} {name}: " + ", ".join(f"{k} {v}" for k, v in r.items()) for name, r in results.items()]
+    @property
+    def line(self) -> str:
+        if self.error is not None:
+            return f"⚠ {self.name}: {self.error}"
+        mark = "✓" if not self.numbers.get("faults") else "⚠"
+        return f"{mark} {self.name}: " + ", ".join(f"{k} {v}" for k, v in self.numbers.items())
+
+
+def attempt(name: str, work: Callable[[], DataFrame | dict]) -> Step:
+    """Run one step, whose result is numbers or a table of one row of them."""
+    with contextlib.ExitStack() as caught:
+        step = Step(name)
+        caught.push(lambda kind, e, _: isinstance(e, Exception) and (setattr(step, "error", f"{kind.__name__}: {e}"[:300]) or True))
+        found = work()
+        step.numbers = found if isinstance(found, dict) else found.first().asDict()
+    return step
+
+
+def run(steps: dict[str, Callable[[], DataFrame | dict]]) -> list[Step]:
+    """All steps in order; one that fails keeps its error."""
+    return [attempt(name, work) for name, work in steps.items()]
+
+
+def errors(spark: SparkSession, steps: list[Step]) -> DataFrame:
+    """(step, error) of those that failed."""
+    return spark.createDataFrame([(s.name, s.error) for s in steps if s.error is not None], "step string, error string")
 
 
 def counters(rounds: DataFrame, summed: list[str], last: list[str], by: str) -> DataFrame:

@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noteweave.functions import front
 from noteweave.functions import text as tx
 from noteweave.operators import notes as nt
 from noteweave.operators import rank
 from noteweave.plans.registry import query
-from noteweave.plans.tables import MARKED_SQL, NOTES_SQL, marked_notes, notes, table, vectors
+from noteweave.plans.tables import MARKED_SQL, NOTES_SQL, block_notes, marked_notes, notes, table, vectors
+from noteweave.sources import vault
 
 WORDS = "the thing idiot"
 
 
-def bm25_sql(where: str) -> str:
-    terms = ["the", "thing", "idiot"]
+def bm25_sql(where: str, terms: list[str] | None = None, by: str | None = None) -> str:
+    terms = terms or WORDS.split()
+    each = range(len(terms))
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(terms))
-    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(3))
-    score = " + ".join(f"CASE WHEN tf{i} > 0 THEN (ln(n + 1.0) - ln(df{i} + 0.5)) * tf{i} * 2.5 * (tf{i} / k + 0.5) / (2.0 + tf{i} / k) ELSE 0 END" for i in range(3))
-    return f"""bm AS (WITH tok AS (SELECT doc_id, path, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM notes WHERE {where}),
-      cnt AS (SELECT doc_id, path, len(t) AS dl, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM cnt),
-      sc AS (SELECT doc_id, path, {score} AS score FROM (SELECT *, 0.25 + 0.75 * dl / a AS k FROM cnt, st))
-      SELECT doc_id, path, score, row_number() OVER (ORDER BY round(score, 9) DESC, string_split(path, '/')) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 50)"""
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in each)
+    score = " + ".join(f"CASE WHEN tf{i} > 0 THEN (ln(n + 1.0) - ln(df{i} + 0.5)) * tf{i} * 2.5 * (tf{i} / k + 0.5) / (2.0 + tf{i} / k) ELSE 0 END" for i in each)
+    part, more = (f"PARTITION BY {by} ", f", {by}") if by else ("", "")
+    return f"""bm AS (WITH tok AS (SELECT doc_id, path{more}, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM notes WHERE {where}),
+      cnt AS (SELECT doc_id, path{more}, len(t) AS dl, {tf} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM cnt),
+      sc AS (SELECT doc_id, path{more}, {score} AS score FROM (SELECT *, 0.25 + 0.75 * dl / a AS k FROM cnt, st))
+      SELECT doc_id, path{more}, score, row_number() OVER ({part}ORDER BY round(score, 9) DESC, string_split(path, '/')) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 50)"""
 
 
 @query("bm25_search", f"WITH {NOTES_SQL}, {bm25_sql('true')} SELECT path, round(score, 6) AS score, rank::INTEGER AS rank FROM bm")
@@ -75,23 +79,48 @@ def vector_topk(spark, sf_dir):
 RRF_SQL = f"WITH {NOTES_SQL}, {bm25_sql('true')}, {VEC_SQL}, every AS (SELECT doc_id::VARCHAR AS path, rank, 0 AS l FROM bm UNION ALL SELECT path, rank, 1 FROM vr), fused AS (SELECT path, sum(1.0 / (60 + rank)) AS score, min((l, rank)) AS first FROM every GROUP BY path)"
 
 
-def fused(spark, sf_dir):
+def lanes(spark, sf_dir):
+    """documents as notes under their numbers, and their vectors."""
     by_id = notes(spark, sf_dir).withColumn("full", F.col("path")).withColumn("path", F.col("doc_id").cast("string"))
     v = vectors(spark, sf_dir).select("path", "vec")
-    words = rank.bm25l(by_id, WORDS, tie="full")
-    return rank.rrf([words, rank.vector_rank(v, v.filter("path = '0'").select(F.col("vec").alias("qvec")))]), by_id
+    return by_id, v, v.filter("path = '0'").select(F.col("vec").alias("qvec"))
 
 
 @query("rrf_fuse", f"{RRF_SQL} SELECT path, round(score, 9) AS score FROM fused")
 def rrf_fuse(spark, sf_dir):
-    return fused(spark, sf_dir)[0].select("path", F.round("score", 9).alias("score"))
+    by_id, v, asked = lanes(spark, sf_dir)
+    return rank.rrf([rank.bm25l(by_id, WORDS, tie="full"), rank.vector_rank(v, asked)]).select("path", F.round("score", 9).alias("score"))
 
 
-@query("hybrid_search", f"{RRF_SQL}, best AS (SELECT path, row_number() OVER (ORDER BY round(score, 12) DESC, first) AS rank FROM fused QUALIFY rank <= 20) SELECT b.path, b.rank::INTEGER AS rank, n.source FROM best b JOIN notes n ON n.doc_id::VARCHAR = b.path")
+BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def excerpt_sql(words: str) -> str:
+    lines = f"list_transform(regexp_split_to_array(n.text, '{BREAKS}'), lambda x: trim(x))"
+    return f"CASE WHEN contains(b.path, '{words}') THEN '(title match)' ELSE coalesce(list_filter({lines}, lambda x: contains(lower(x), '{words}'))[1], list_filter({lines}, lambda x: x <> '')[1][:120], '') END"
+
+
+NOTE_VEC_SQL = VEC_SQL.replace("FROM embeddings e,", "FROM embeddings e JOIN documents ON doc_id = vec_id,")
+NOTE_RRF_SQL = RRF_SQL.replace(VEC_SQL, NOTE_VEC_SQL)
+
+
+@query("hybrid_search", f"{NOTE_RRF_SQL}, best AS (SELECT path, row_number() OVER (ORDER BY round(score, 12) DESC, first) AS rank FROM fused QUALIFY rank <= 20) SELECT b.rank::INTEGER AS rank, b.path, {excerpt_sql(WORDS)} AS excerpt FROM best b JOIN notes n ON n.doc_id::VARCHAR = b.path")
 def hybrid_search(spark, sf_dir):
-    scores, by_id = fused(spark, sf_dir)
-    best = rank.ranked(scores, rank.rrf_order(), 20).select("path", "rank")
-    return by_id.join(F.broadcast(best), "path").select("path", "rank", "source")
+    return rank.hybrid(*lanes(spark, sf_dir)[:2], WORDS, lanes(spark, sf_dir)[2], 20, tie="full")
+
+
+@query("hybrid_fallback", f"""WITH {NOTES_SQL}, {NOTE_VEC_SQL}, sub AS (SELECT doc_id::VARCHAR AS path, row_number() OVER (ORDER BY doc_id::VARCHAR) AS rank FROM notes WHERE contains(lower(text), 'idio') OR contains(doc_id::VARCHAR, 'idio') QUALIFY rank <= 50),
+ fused AS (SELECT path, sum(1.0 / (60 + rank)) AS score, min((l, rank)) AS first FROM (SELECT path, rank, 1 AS l FROM vr UNION ALL SELECT path, rank, 2 FROM sub) GROUP BY path),
+ best AS (SELECT path, row_number() OVER (ORDER BY round(score, 12) DESC, first) AS rank FROM fused QUALIFY rank <= 15) SELECT b.rank::INTEGER AS rank, b.path, {excerpt_sql('idio')} AS excerpt FROM best b JOIN notes n ON n.doc_id::VARCHAR = b.path""")
+def hybrid_fallback(spark, sf_dir):
+    by_id, v, asked = lanes(spark, sf_dir)
+    return rank.hybrid(by_id, v, "idio", asked, 15)
+
+
+@query("search_lines", f"""WITH {NOTES_SQL}, l AS (SELECT path, doc_id, unnest(regexp_split_to_array(text, '{BREAKS}')) AS line, generate_subscripts(regexp_split_to_array(text, '{BREAKS}'), 1) AS number FROM notes)
+ SELECT path, number::INTEGER AS number, line FROM (SELECT path, number, trim(line) AS line FROM l WHERE contains(lower(line), '7') UNION ALL SELECT path, 0, '(title match)' FROM notes WHERE contains(doc_id::VARCHAR, '7')) ORDER BY string_split(path, '/'), number LIMIT 30""")
+def search_lines(spark, sf_dir):
+    return nt.search_lines(notes(spark, sf_dir), "7", 30)
 
 
 @query("excerpt_first_match", f"WITH {MARKED_SQL} SELECT path, coalesce(list_filter(l, lambda x: contains(lower(x), 'idiot'))[1], list_filter(l, lambda x: x <> '')[1][:120], '') AS excerpt FROM (SELECT path, list_transform(string_split(substr(text, instr(substr(text, 4), chr(10) || '---') + 7), chr(10)), lambda x: trim(x)) AS l FROM notes)")
@@ -102,7 +131,7 @@ def excerpt_first_match(spark, sf_dir):
 @query("frontmatter_body", f"WITH {MARKED_SQL} SELECT path, '[' || lang || ', T' || (doc_id % 3) || ']' AS tags, source AS project, md5(substr(text, instr(substr(text, 4), chr(10) || '---') + 7)) AS body_md5, 'Doc ' || doc_id AS title FROM notes")
 def frontmatter_body(spark, sf_dir):
     t = F.col("text")
-    return marked_notes(spark, sf_dir).select("path", tx.front_value(t, "tags").alias("tags"), tx.front_value(t, "project").alias("project"), F.md5(tx.body(t).cast("binary")).alias("body_md5"), tx.heading(t, F.col("path")).alias("title"))
+    return marked_notes(spark, sf_dir).select("path", F.concat(F.lit("["), F.array_join(tx.front_list(t, "tags"), ", "), F.lit("]")).alias("tags"), tx.front_value(t, "project").alias("project"), F.md5(tx.body(t).cast("binary")).alias("body_md5"), tx.heading(t, F.col("path")).alias("title"))
 
 
 @query("tag_filter", "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id % 3 = 1")
@@ -110,6 +139,23 @@ def tag_filter(spark, sf_dir):
     return nt.with_tags(marked_notes(spark, sf_dir), ["EN", "t1"]).select("doc_id")
 
 
+@query("tag_filter_block", "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id % 3 = 1")
+def tag_filter_block(spark, sf_dir):
+    return nt.with_tags(block_notes(spark, sf_dir), ["EN", "t1"]).select("doc_id")
+
+
+@query("project_filter", "SELECT doc_id FROM documents WHERE source = 'src3'")
+def project_filter(spark, sf_dir):
+    return nt.query_notes(block_notes(spark, sf_dir), project="SRC3: X").select("doc_id")
+
+
+@query("yaml_metadata", "SELECT doc_id, lang || ',T' || (doc_id % 3) AS tags, source || ': x' AS project, 'o' || (doc_id % 7) AS owner, doc_id % 2 = 0 AS active, 'a' || (doc_id % 5) || '|b, c' AS aliases, 'folded text ' || doc_id AS note FROM documents")
+def yaml_metadata(spark, sf_dir):
+    n = block_notes(spark, sf_dir).withColumn("m", front.meta(F.col("text")))
+    m = F.col("m")
+    return n.select("doc_id", F.array_join(front.values(m, "tags"), ",").alias("tags"), front.value(m, "project").alias("project"), front.value(m, "owner.name").alias("owner"), F.try_variant_get(m, "$.owner.active", "boolean").alias("active"), F.array_join(front.values(m, "aliases"), "|").alias("aliases"), F.rtrim(F.regexp_replace(front.value(m, "note"), "\n", "")).alias("note"))
+
+
 @query("folder_filter", f"WITH {NOTES_SQL} SELECT doc_id, path FROM notes WHERE path LIKE 'src1/de/%'")
 def folder_filter(spark, sf_dir):
     return nt.in_folder(notes(spark, sf_dir), "src1/de").select("doc_id", "path")
@@ -174,12 +220,21 @@ def duplicate_stems(spark, sf_dir):
     return nt.duplicate_stems(paths)
 
 
-@query("tool_use_count", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS n_tool, bool_or(role = 'system') AS logged FROM conversations GROUP BY conv_id")
+@query("tool_use_count", """SELECT conv_id::VARCHAR AS file, sum(CASE WHEN turn % 7 = 6 OR role = 'user' THEN 0 WHEN turn % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS tools, coalesce(bool_or(turn % 7 <> 6 AND role <> 'user' AND turn % 3 = 0 AND conv_id % 2 = 0), false) AS logged FROM conversations GROUP BY conv_id""")
 def tool_use_count(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n_tool"), F.bool_or(F.col("role") == "system").alias("logged"))
-
-
-EVAL_SQL = f"""WITH {NOTES_SQL}, {bm25_sql('true')}, hits AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, string_split(path, '/')) AS rank FROM bm JOIN documents USING (doc_id)),
+    """conversations as transcripts: turns of others than the user have blocks of tools, some of them two, in a message or in
+    the line itself; each seventh line is cut off, the user's turns are plain text."""
+    turn = F.col("turn")
+    use = lambda name: F.struct(F.lit("tool_use").alias("type"), name.alias("name"))
+    log = F.when(F.col("conv_id") % 2 == 0, F.lit("mcp__notes__log_session")).otherwise(F.lit("open"))
+    blocks = F.when(turn % 3 == 0, F.array(use(log), use(F.lit("read")))).otherwise(F.array(use(F.lit("read")), F.struct(F.lit("text").alias("type"), F.lit("log_session").alias("name"))))
+    inner = F.to_json(F.struct(blocks.alias("content")))
+    line = F.when(F.col("role") == "user", F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message")))).when(turn % 2 == 0, inner).otherwise(F.concat(F.lit('{"message":'), inner, F.lit("}")))
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.when(turn % 7 == 6, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    return vault.tool_uses(lines)
+
+
+EVAL_SQL = f"""WITH {NOTES_SQL}, {bm25_sql('true', by='source')}, hits AS (SELECT source, doc_id, rank FROM bm),
  gold AS (SELECT source, doc_id, quality = 1 AS expect, toxic = 1 AS accept FROM labels JOIN documents USING (doc_id) WHERE quality = 1 OR toxic = 1),
  j AS (SELECT g.source, g.expect, g.expect OR g.accept AS good, h.rank FROM gold g LEFT JOIN hits h ON h.source = g.source AND h.doc_id = g.doc_id)
  SELECT source, round(count(*) FILTER (expect AND rank <= 5) / count(*) FILTER (expect), 6) AS recall_5, max(CASE WHEN rank <= 5 AND good THEN 1 ELSE 0 END) AS success_5, min(CASE WHEN good THEN rank END) AS first_rank,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from noteweave.operators import blocking, graph, index, organize, sheets
+from noteweave.operators import blocking, graph, health, index, organize, rank, sheets, sweep
 from noteweave.plans.registry import query
+from noteweave.plans.retrieval import bm25_sql
 from noteweave.plans.tables import GRAPH_SQL, NOTES_SQL, edges, entities, mentions, notes, table, vectors
 
 
@@ -53,14 +54,31 @@ def serendipity(spark, sf_dir):
     return related_notes_3hop(spark, sf_dir).filter("depth >= 1").select("note", "via")
 
 
-@query("context_bundle", f"""WITH {GRAPH_SQL}, hits AS (SELECT 'O/' || o_orderkey AS note, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 10)
- SELECT entity, min(rank) AS first_hit, count(*) AS n FROM hits JOIN mentions USING (note) GROUP BY entity""")
+ORDER_NOTES_SQL = "notes AS (SELECT o_orderkey AS doc_id, 'O/' || o_orderkey AS path, o_orderpriority || ' order of ' || o_orderstatus || chr(10) || 'customer ' || o_custkey AS text FROM orders)"
+
+
+def order_notes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("O/"), F.col("o_orderkey").cast("string")).alias("path"), F.concat("o_orderpriority", F.lit(" order of "), "o_orderstatus", F.lit("\ncustomer "), F.col("o_custkey").cast("string")).alias("text"))
+
+
+@query("context_bundle", f"""WITH {GRAPH_SQL}, {ORDER_NOTES_SQL}, {bm25_sql('true', "urgent customer 7".split())},
+ vr AS (SELECT 'O/' || e.vec_id AS path, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (ORDER BY score DESC, path) AS rank FROM embeddings e JOIN orders ON o_orderkey = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE score > 0 QUALIFY rank <= 50),
+ fused AS (SELECT path, sum(1.0 / (60 + rank)) AS score, min((l, rank)) AS first FROM (SELECT path, rank, 0 AS l FROM bm UNION ALL SELECT path, rank, 1 FROM vr) GROUP BY path),
+ hits AS (SELECT path AS note, row_number() OVER (ORDER BY round(score, 12) DESC, first) AS rank FROM fused QUALIFY rank <= 10),
+ seed AS (SELECT DISTINCT h.note AS seed, m.entity FROM hits h JOIN mentions m ON m.note = h.note), sym AS (SELECT src, rel, dst FROM edges UNION SELECT dst, rel, src FROM edges),
+ h1 AS (SELECT s.seed, dst AS entity, 1 AS depth, min(s.entity || ' (' || rel || ') ' || dst) AS via FROM seed s JOIN sym b ON b.src = s.entity WHERE (s.seed, dst) NOT IN (SELECT (seed, entity) FROM seed) GROUP BY s.seed, dst),
+ reached AS (SELECT seed, entity, 0 AS depth, entity AS via FROM seed UNION ALL SELECT * FROM h1),
+ rel AS (SELECT m.note, min((h.rank, r.depth, r.via)) AS first FROM reached r JOIN mentions m ON m.entity = r.entity JOIN hits h ON h.note = r.seed WHERE m.note <> r.seed GROUP BY m.note)
+ SELECT 'entity' AS kind, m.entity AS path, min(h.rank) AS first_hit, count(DISTINCT m.note) AS hits, NULL AS via FROM hits h JOIN mentions m ON m.note = h.note GROUP BY m.entity
+ UNION ALL SELECT 'related', note, first[1], first[2], first[3] FROM rel""")
 def context_bundle(spark, sf_dir):
-    order = [F.desc("o_totalprice"), F.col("o_orderkey")]
-    top = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(*order).limit(10)
-    hits = top.select(F.concat(F.lit("O/"), F.col("o_orderkey").cast("string")).alias("note"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
-    found = mentions(spark, sf_dir).join(F.broadcast(hits), "note")
-    return found.groupBy("entity").agg(F.min("rank").cast("long").alias("first_hit"), F.count(F.lit(1)).alias("n"))
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("O/"), F.col("vec_id").cast("string")).alias("path"), F.col("embedding").alias("vec"))
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("qvec"))
+    hits = rank.hybrid(order_notes(spark, sf_dir), v, "urgent customer 7", asked, limit=10)
+    found, related = graph.context_bundle(hits.select("path", "rank"), mentions(spark, sf_dir), edges(spark, sf_dir))
+    a = found.select(F.lit("entity").alias("kind"), F.col("entity").alias("path"), F.col("first_hit").cast("long").alias("first_hit"), "hits", F.lit(None).cast("string").alias("via"))
+    return a.unionByName(related.select(F.lit("related").alias("kind"), F.col("note").alias("path"), F.col("first_hit").cast("long").alias("first_hit"), F.col("depth").cast("long").alias("hits"), "via"))
 
 
 def redirects(spark, sf_dir):
@@ -86,7 +104,7 @@ def flatten_stubs(spark, sf_dir):
     return graph.flatten_redirects(redirects(spark, sf_dir))
 
 
-PART_EDGES_SQL = "pe AS (SELECT DISTINCT 'P/' || l_partkey AS src, 'with' AS rel, 'P/' || ((l_partkey + l_suppkey) % 2100) AS dst FROM lineitem WHERE l_linenumber = 2)"
+PART_EDGES_SQL = "pe AS (SELECT DISTINCT 'P/' || l_partkey AS src, 'with' AS rel, 'P/' || (l_partkey + l_suppkey) AS dst FROM lineitem)"
 
 
 def part_edges(spark, sf_dir):
@@ -102,7 +120,7 @@ def repair_relations(spark, sf_dir):
     return graph.repair_relations(part_edges(spark, sf_dir), graph.resolve_redirects(redirects(spark, sf_dir)))
 
 
-@query("find_orphans", f"WITH {GRAPH_SQL} SELECT path FROM entities WHERE path NOT IN (SELECT entity FROM mentions WHERE note LIKE 'O/11%') AND path NOT IN (SELECT src FROM edges WHERE src LIKE 'P/22%')")
+@query("find_orphans", f"WITH {GRAPH_SQL} SELECT path FROM entities WHERE path NOT IN (SELECT entity FROM mentions) AND path NOT IN (SELECT src FROM edges) AND path NOT IN (SELECT dst FROM edges)")
 def find_orphans(spark, sf_dir):
     return graph.orphans(entities(spark, sf_dir), mentions(spark, sf_dir), edges(spark, sf_dir)).select("path")
 
@@ -113,25 +131,56 @@ def orphaned_mentions(spark, sf_dir):
     return graph.orphaned_mentions(mentions(spark, sf_dir), live)
 
 
-@query("retract_deleted", f"WITH {GRAPH_SQL}, gone AS (SELECT 'O/' || o_orderkey AS note FROM orders WHERE o_orderkey % 3 = 0 ORDER BY note LIMIT 100) SELECT entity, count(*) AS n FROM mentions WHERE note NOT IN (SELECT note FROM gone) GROUP BY entity")
-def retract_deleted(spark, sf_dir):
+RETRACT_SQL = f"WITH {GRAPH_SQL}, gone AS (SELECT 'O/' || o_orderkey AS note, row_number() OVER (ORDER BY 'O/' || o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0), first AS (SELECT note FROM gone WHERE n <= 100)"
+
+
+def retracted(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("O/"), F.col("o_orderkey").cast("string")).alias("path"))
-    return graph.retract_deleted(mentions(spark, sf_dir), o, o.filter("o_orderkey % 3 <> 0")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return graph.retract_deleted(mentions(spark, sf_dir), o.filter("o_orderkey % 2 = 0").select("path"), o.filter("o_orderkey % 2 = 1 OR o_orderkey % 6 = 0").select("path"), o.filter("o_orderkey % 3 <> 0"))
+
+
+@query("retract_deleted", f"{RETRACT_SQL} SELECT entity, count(*) AS n FROM mentions WHERE note NOT IN (SELECT note FROM first) GROUP BY entity")
+def retract_deleted(spark, sf_dir):
+    return retracted(spark, sf_dir)[0].groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("retract_manifest", f"""{RETRACT_SQL}, t AS (SELECT 'O/' || o_orderkey AS path, o_orderkey AS k FROM orders)
+ SELECT 'hash' AS kind, path FROM t WHERE k % 2 = 0 AND path NOT IN (SELECT note FROM first) UNION ALL SELECT 'failure', path FROM t WHERE (k % 2 = 1 OR k % 6 = 0) AND path NOT IN (SELECT note FROM first)""")
+def retract_manifest(spark, sf_dir):
+    _, hashes, failures, _ = retracted(spark, sf_dir)
+    return hashes.select(F.lit("hash").alias("kind"), "path").unionByName(failures.select(F.lit("failure").alias("kind"), "path"))
 
 
-@query("merge_entities", f"""WITH {GRAPH_SQL}, g AS (SELECT 'P/' || p_partkey AS dup, 'P/' || (p_partkey - p_partkey % 4) AS canonical FROM part WHERE p_partkey % 4 <> 0),
+@query("retract_counts", f"{RETRACT_SQL} SELECT (SELECT count(*) FROM first) AS retracted_notes, (SELECT count(*) FROM mentions WHERE note IN (SELECT note FROM first)) AS removed_mentions, greatest((SELECT count(*) FROM gone) - 100, 0) AS remaining")
+def retract_counts(spark, sf_dir):
+    return retracted(spark, sf_dir)[3]
+
+
+MERGE_SQL = f"""WITH {GRAPH_SQL}, g AS (SELECT 'P/' || p_partkey AS dup, 'P/' || (p_partkey - p_partkey % 4) AS canonical FROM part WHERE p_partkey % 4 <> 0),
  al AS (SELECT coalesce(g.canonical, e.path) AS path, unnest(CASE WHEN g.canonical IS NULL THEN aliases ELSE list_append(aliases, name) END) AS alias FROM entities e LEFT JOIN g ON g.dup = e.path),
- mm AS (SELECT DISTINCT coalesce(g.canonical, m.entity) AS entity, note FROM mentions m LEFT JOIN g ON g.dup = m.entity)
- SELECT e.path, (SELECT array_to_string(list_sort(list(DISTINCT alias)), ',') FROM al WHERE al.path = e.path) AS aliases, (SELECT count(*) FROM mm WHERE mm.entity = e.path) AS n_mentions FROM entities e WHERE e.path NOT IN (SELECT dup FROM g)""")
-def merge_entities(spark, sf_dir):
+ mm AS (SELECT DISTINCT coalesce(g.canonical, m.entity) AS entity, note FROM mentions m LEFT JOIN g ON g.dup = m.entity)"""
+
+
+def merged(spark, sf_dir):
     k = F.col("p_partkey")
     name = lambda c: F.concat(F.lit("P/"), c.cast("string"))
     merges = table(spark, sf_dir, "part").filter(k % 4 != 0).select(name(k).alias("dup"), name(k - k % 4).alias("canonical"))
-    kept, moved, _ = graph.merge_entities(entities(spark, sf_dir), mentions(spark, sf_dir), edges(spark, sf_dir), merges)
+    return graph.merge_entities(entities(spark, sf_dir), mentions(spark, sf_dir), edges(spark, sf_dir), merges)
+
+
+@query("merge_entities", f"""{MERGE_SQL}, n AS (SELECT entity, count(*) AS n FROM mm GROUP BY entity), aa AS (SELECT path, array_to_string(list_sort(list(DISTINCT alias)), ',') AS aliases FROM al GROUP BY path)
+ SELECT e.path, aa.aliases, coalesce(n.n, 0) AS n_mentions FROM entities e JOIN aa USING (path) LEFT JOIN n ON n.entity = e.path WHERE e.path NOT IN (SELECT dup FROM g)""")
+def merge_entities(spark, sf_dir):
+    kept, moved, _ = merged(spark, sf_dir)
     counts = moved.groupBy(F.col("entity").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     return kept.join(counts, "path", "left").select("path", F.array_join("aliases", ",").alias("aliases"), F.coalesce("n", F.lit(0)).alias("n_mentions"))
 
 
+@query("merge_relations", f"{MERGE_SQL} SELECT DISTINCT coalesce(g.canonical, src) AS src, rel, dst FROM edges LEFT JOIN g ON g.dup = src")
+def merge_relations(spark, sf_dir):
+    return merged(spark, sf_dir)[2]
+
+
 THRESHOLD = 0.3
 SLICE_SQL = "sl AS (SELECT vec_id, vec_id::VARCHAR AS path, label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY (vec_id % 3 = 0), (vec_id % 3 = 0 AND path <= '2'), path LIMIT 200)"
 PAIRS_SQL = f"""{SLICE_SQL}, near AS (SELECT s.path AS p, e.vec_id::VARCHAR AS q, list_cosine_similarity(s.v, e.embedding::DOUBLE[]) AS cos FROM sl s JOIN embeddings e ON e.label = s.label AND e.vec_id <> s.vec_id),
@@ -180,7 +229,7 @@ def batch_pack(spark, sf_dir):
     return blocking.pack_batches(counts.withColumn("seq", F.row_number().over(Window.orderBy("source"))), most=120)
 
 
-VOTE_SQL = """near AS (SELECT c.vec_id AS p, e.vec_id::VARCHAR AS q, e.label, list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim FROM embeddings c, embeddings e WHERE c.vec_id % 10 = 0 AND c.vec_id <> e.vec_id),
+VOTE_SQL = """near AS (SELECT c.vec_id AS p, e.vec_id::VARCHAR AS q, e.label, list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim FROM embeddings c, embeddings e WHERE c.vec_id <> e.vec_id),
  top AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY sim DESC, q) AS place FROM near WHERE sim > 0 QUALIFY place <= 10),
  v AS (SELECT p, label, sum(sim) AS mass, min(place) AS first FROM top GROUP BY p, label),
  votes AS (SELECT p::VARCHAR AS path, label::VARCHAR AS folder, mass / sum(mass) OVER (PARTITION BY p) AS share FROM v QUALIFY row_number() OVER (PARTITION BY p ORDER BY round(mass, 9) DESC, first) = 1)"""
@@ -196,7 +245,7 @@ def folder_vote(spark, sf_dir):
     return votes_of(spark, sf_dir).select("path", "folder", F.round("share", 6).alias("share"))
 
 
-@query("organize_decisions", f"""WITH {VOTE_SQL}, c AS (SELECT vec_id::VARCHAR AS path, CASE WHEN vec_id % 20 = 0 THEN label::VARCHAR END AS current, vec_id % 30 = 0 AS dup FROM embeddings WHERE vec_id % 10 = 0)
+@query("organize_decisions", f"""WITH {VOTE_SQL}, c AS (SELECT vec_id::VARCHAR AS path, CASE WHEN vec_id % 20 = 0 THEN label::VARCHAR END AS current, vec_id % 30 = 0 AS dup FROM embeddings)
  SELECT path, folder, round(share, 6) AS share, CASE WHEN folder IS NULL OR folder IS NOT DISTINCT FROM current THEN 'skip' WHEN share < 0.3 THEN CASE WHEN current IS NULL THEN 'propose' ELSE 'skip' END WHEN dup THEN 'propose' ELSE 'move' END AS action FROM c LEFT JOIN votes USING (path)""")
 def organize_decisions(spark, sf_dir):
     c = vectors(spark, sf_dir).select("path", F.col("path").alias("stem"), F.when(F.col("id") % 20 == 0, F.col("folder")).alias("current"), "id")
@@ -250,7 +299,7 @@ def config_drift(spark, sf_dir):
     return index.config_drift(wanted, installed)
 
 
-CUSTOMERS = sheets.Sheet({"segment": sheets.Field("enum", True, ("BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE")), "balance": sheets.Field("number"), "name": sheets.Field("string", max_length=18)}, key=("segment", "nation"), identity=("name",))
+CUSTOMERS = sheets.Sheet({"segment": sheets.Field("enum", True, ("BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE")), "balance": sheets.Field("number"), "name": sheets.Field("string", max_length=18), "nation": sheets.Field("string")}, key=("segment", "nation"), identity=("name",))
 ORDERS = sheets.Sheet({"status": sheets.Field("string"), "total": sheets.Field("number"), "date": sheets.Field("date"), "priority": sheets.Field("string")})
 SHEET_SQL = "sheet AS (SELECT lpad(o_orderkey::VARCHAR, 9, '0') AS path, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS total, o_orderdate AS date, o_orderpriority AS priority FROM orders)"
 
@@ -298,15 +347,36 @@ def sheet_duplicates(spark, sf_dir):
     return sheets.duplicates(customer_sheet(spark, sf_dir).filter("segment IS NOT NULL"), ["segment", "nation"])
 
 
-@query("upsert_sheet", """SELECT c_custkey AS seq, CASE WHEN c_custkey % 2 = 1 THEN lpad(c_custkey::VARCHAR, 7, '0') END AS path, CASE WHEN c_custkey % 2 = 0 THEN 'insert' WHEN c_custkey % 5 = 0 THEN 'update' ELSE 'none' END AS action,
-  CASE WHEN c_custkey % 2 = 1 AND c_custkey % 5 = 0 THEN 'balance' END AS changed FROM customer WHERE c_custkey % 3 = 0""")
+UPSERT_SQL = """b AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 7, '0') AS path, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation, CASE WHEN k % 5 = 0 THEN -1e9 WHEN k % 7 <> 0 THEN c_acctbal END AS balance, c_acctbal, c_name,
+   CASE WHEN k % 2 = 0 THEN c_name || ' new' WHEN k % 11 = 0 THEN c_name ELSE '  ' || upper(c_name) END AS name FROM customer WHERE c_custkey % 3 = 0),
+ u AS (SELECT *, concat_ws(',', CASE WHEN balance IS DISTINCT FROM c_acctbal THEN 'balance' END, CASE WHEN name <> c_name THEN 'name' END) AS changed FROM b)"""
+
+
+def customer_batch(spark, sf_dir):
+    """A sheet of the customers with odd keys, and a batch that updates, clears, repeats and adds some."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lpad(k.cast("string"), 7, "0").alias("path"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
+    balance = F.when(k % 5 == 0, F.lit(-1e9)).when(k % 7 != 0, F.col("balance"))
+    name = F.when(k % 2 == 0, F.concat("name", F.lit(" new"))).when(k % 11 == 0, F.col("name")).otherwise(F.concat(F.lit("  "), F.upper("name")))
+    batch = rows.filter("c_custkey % 3 = 0").withColumn("balance", balance).withColumn("name", name)
+    return rows.filter("c_custkey % 2 = 1").drop("c_custkey"), batch.withColumnRenamed("c_custkey", "seq").drop("path")
+
+
+@query("upsert_sheet", f"WITH {UPSERT_SQL} SELECT k AS seq, CASE WHEN k % 2 = 1 THEN path END AS path, CASE WHEN k % 2 = 0 THEN 'insert' WHEN changed = '' THEN 'none' ELSE 'update' END AS action, CASE WHEN k % 2 = 1 AND changed <> '' THEN changed END AS changed FROM u")
 def upsert_sheet(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    rows = c.select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("path"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
-    batch = rows.filter("c_custkey % 3 = 0").withColumn("balance", F.when(F.col("c_custkey") % 5 == 0, F.lit(-1e9)).otherwise(F.col("balance"))).withColumn("name", F.when(F.col("c_custkey") % 2 == 0, F.concat("name", F.lit(" new"))).otherwise(F.concat(F.lit("  "), F.upper("name"))))
-    # names differ in case only, which identities ignore; they are not compared again
-    done = sheets.upsert(rows.filter("c_custkey % 2 = 1").drop("c_custkey"), batch.withColumnRenamed("c_custkey", "seq").drop("path"), CUSTOMERS)
-    return done.withColumn("changed", F.nullif(F.regexp_replace("changed", ",?name", ""), F.lit(""))).withColumn("action", F.when((F.col("action") == "update") & F.col("changed").isNull(), "none").otherwise(F.col("action")))
+    return sheets.upsert(*customer_batch(spark, sf_dir), CUSTOMERS)
+
+
+WIDE_CUSTOMERS = sheets.Sheet({**CUSTOMERS.fields, "name": sheets.Field("string", max_length=22)}, CUSTOMERS.key, CUSTOMERS.identity, "customers", "Sheets/Customers", "{name} - {nation}")
+
+
+@query("upsert_merged", f"""WITH {UPSERT_SQL}, old AS (SELECT c.c_custkey AS k, lpad(c.c_custkey::VARCHAR, 7, '0') AS path, c.c_mktsegment AS segment, c.c_nationkey::VARCHAR AS nation, c.c_acctbal AS balance, c.c_name AS name FROM customer c WHERE c.c_custkey % 2 = 1)
+ SELECT o.path, coalesce(u.segment, o.segment) AS segment, coalesce(u.nation, o.nation) AS nation, CASE WHEN u.k IS NULL THEN o.balance ELSE u.balance END AS balance, coalesce(u.name, o.name) AS name, CASE WHEN u.changed <> '' THEN 'a' END AS agent FROM old o LEFT JOIN u ON u.k = o.k AND length(u.name) <= 22 AND u.segment <> 'MACHINERY'
+ UNION ALL SELECT 'Sheets/Customers/' || name || ' - ' || nation || '.md', segment, nation, balance, name, 'a' FROM u WHERE k % 2 = 0 AND length(name) <= 22 AND segment <> 'MACHINERY'""")
+def upsert_merged(spark, sf_dir):
+    base, batch = customer_batch(spark, sf_dir)
+    done = sheets.upsert(base, batch, WIDE_CUSTOMERS)
+    return sheets.merged(base, batch, done, WIDE_CUSTOMERS, "2024-01-01 10:00", "a").drop("created")
 
 
 @query("recent_by_folder", "SELECT event_type AS folder, count(*) AS n, max(ts) AS latest FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY event_type")
@@ -315,14 +385,26 @@ def recent_by_folder(spark, sf_dir):
     return recent.groupBy(F.col("event_type").alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
 
 
+SHEET_FAULTS_SQL = "SELECT count(*) FROM customer WHERE c_custkey % 17 = 0 OR c_custkey % 19 = 0 OR c_custkey % 23 = 0 OR c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'HOUSEHOLD', 'FURNITURE')"
 HEALTH_SQL = f"""{CHANGED_SQL} SELECT (SELECT count(*) FROM cur WHERE doc_id % 2 = 1 AND (path, hash) NOT IN (SELECT (path, hash) FROM man)) AS stale_embeddings,
- (SELECT count(*) FROM man m FULL JOIN cur c ON m.path = c.path WHERE m.hash IS DISTINCT FROM c.hash) AS manifest_drift, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) AS orphaned_entities"""
+ (SELECT count(*) FROM man m FULL JOIN cur c ON m.path = c.path WHERE m.path IS NULL OR c.path IS NULL) AS manifest_drift, (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 <> 0)) AS orphaned_entities,
+ (SELECT count(*) FROM part WHERE p_partkey % 50 = 0) AS cache_consistency, (SELECT count(*) FROM embeddings WHERE vec_id % 4 = 0) + 2 AS pending_proposals, ({SHEET_FAULTS_SQL}) AS invalid_sheet_rows,
+ (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 500 = 1) AND p_partkey % 5 = 0) AS pending_retirements, 1 AS sweep_errors"""
 
 
 @query("health_report", HEALTH_SQL)
 def health_report(spark, sf_dir):
-    from noteweave.operators import health
-
-    known = table(spark, sf_dir, "orders").select(F.concat(F.lit("O/"), F.col("o_orderkey").cast("string")).alias("path"))
-    orphaned = graph.orphaned_mentions(mentions(spark, sf_dir).distinct(), known)
-    return health.report({"stale_embeddings": stale_vectors(spark, sf_dir), "manifest_drift": manifest_drift(spark, sf_dir).filter("state <> 'same'"), "orphaned_entities": orphaned})
+    """All metrics, over notes, a graph, sheets and a sweep that have faults: each order of 97 is gone, each part of 50 is not
+    in the cache, each vector of 4 waits to be filed, beside two merges, and one step of the sweep has failed."""
+    known = table(spark, sf_dir, "orders").filter("o_orderkey % 97 <> 0").select(F.concat(F.lit("O/"), F.col("o_orderkey").cast("string")).alias("path"))
+    e = entities(spark, sf_dir)
+    number = F.substring("path", 3, 20).cast("long")
+    few = mentions(spark, sf_dir).filter(F.substring("note", 3, 20).cast("long") % 500 == 1)
+    decided = vectors(spark, sf_dir).select("path", F.when(F.col("id") % 4 == 0, "propose").otherwise("skip").alias("action"))
+    merges = spark.createDataFrame([("a",), ("b",)], "canonical string")
+    steps = sweep.run({"index": lambda: {"processed": 3}, "organize": lambda: (_ for _ in ()).throw(OSError("disk"))})
+    return health.report({
+        "stale_embeddings": stale_vectors(spark, sf_dir), "manifest_drift": manifest_drift(spark, sf_dir).filter("state IN ('added', 'removed')"), "orphaned_entities": graph.orphaned_mentions(mentions(spark, sf_dir).distinct(), known),
+        "cache_consistency": health.cache_faults(e.filter(number % 50 != 0), e), "pending_proposals": health.pending_proposals(decided, merges, merges.limit(0), True), "invalid_sheet_rows": sheets.check(customer_sheet(spark, sf_dir), CUSTOMERS),
+        "pending_retirements": graph.retirements(e, few, edges(spark, sf_dir).limit(0), e.filter(number % 5 == 0)), "sweep_errors": sweep.errors(spark, steps),
+    })

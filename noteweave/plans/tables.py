@@ -34,6 +34,16 @@ MARKED_SQL = (
 )
 
 
+def block_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as notes whose front matter has block lists, quoted texts, nested keys and comments."""
+    n = F.col("doc_id")
+    text = F.concat(
+        F.lit("---\n# kept by hand\ntags:\n- "), F.col("lang"), F.lit("\n- 'T"), (n % 3).cast("string"), F.lit("' # quoted\nproject: \""), F.col("source"), F.lit(": x\"\nowner:\n  name: o"), (n % 7).cast("string"),
+        F.lit("\n  active: "), F.when(n % 2 == 0, "yes").otherwise("no"), F.lit("\naliases: [a"), (n % 5).cast("string"), F.lit(", \"b, c\"]\nnote: >\n  folded\n  text "), n.cast("string"), F.lit("\n---\n"), F.coalesce("text", F.lit("")),
+    )
+    return notes(spark, sf_dir).withColumn("text", text)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("path"), F.col("label").cast("string").alias("folder"), F.col("embedding").alias("vec"))
 
@@ -59,5 +69,5 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAPH_SQL = (
     "entities AS (SELECT 'P/' || p_partkey AS path, p_name AS name, p_type AS type, [p_brand, 'part ' || p_partkey] AS aliases FROM part), "
     "mentions AS (SELECT 'P/' || l_partkey AS entity, 'O/' || l_orderkey AS note FROM lineitem), "
-    "edges AS (SELECT DISTINCT 'P/' || l_partkey AS src, 'supplied_by' AS rel, 'S/' || l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1)"
+    "edges AS (SELECT DISTINCT 'P/' || l_partkey AS src, 'supplied_by' AS rel, 'S/' || l_suppkey AS dst FROM lineitem)"
 )

@@ -5,14 +5,20 @@ Everything is read and written by Spark, so a vault may be in any store that Spa
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from noteweave.functions import text as tx
+from noteweave.operators import notes as nt
 
-#: Folders that are never read.
+#: Folders that are never read; and what indexing leaves out: the graph, the caretakers' notes, top folders.
 SKIP_DIRS = (".obsidian", ".trash", ".git")
+GRAPH, CARETAKERS, IGNORED = "Claude/Graph/", ("Claude/Organizer.md", "Claude/Librarian.md"), ("copilot",)
 
 
 def _relative(root: str):
@@ -25,18 +31,73 @@ def _listed(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_DIRS))))
 
 
-def read_notes(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
-    """(path, text, mtime) of every ``.md`` file below ``root``; bytes that are no UTF-8 are dropped."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
-    rows = rows.select(_relative(root).alias("path"), F.regexp_replace("value", "�", "").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
-    rows = _listed(rows)
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, mtime) of every note below ``root``; columns that are not used are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    return _listed(rows.select(_relative(root).alias("path"), "content", F.col("modificationTime").alias("mtime")))
+
+
+@F.pandas_udf(StringType())
+def _readable(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
+def read_notes(spark: SparkSession, root: str, folder: str | None = None, tags: list[str] | None = None) -> DataFrame:
+    """(path, text, mtime) of every note below ``root``, of a folder and with tags if they are given; bytes that are no UTF-8
+    are dropped, replacement characters that a note holds are not. Only notes with such bytes go through Python."""
+    rows = _files(spark, root)
+    rows = rows if folder is None else rows.filter(F.col("path").startswith(folder.rstrip("/") + "/"))
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    rows = rows.select("path", F.when(valid, text).otherwise(_readable(F.when(~valid, F.col("content")))).alias("text"), "mtime")
+    return nt.with_tags(rows, tags or [])
+
+
+def read_paths(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
+    """(path, mtime) of the notes, whose contents are not read."""
+    rows = _files(spark, root).select("path", "mtime")
     return rows if folder is None else rows.filter(F.col("path").startswith(folder.rstrip("/") + "/"))
 
 
-def read_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, hash): SHA-256 of the raw bytes of every note."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    return _listed(rows.select(_relative(root).alias("path"), F.sha2("content", 256).alias("hash")))
+def read_hashes(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(path, hash): SHA-256 of the raw bytes of every note that is indexed."""
+    rows = _files(spark, root).filter(~F.col("path").startswith(GRAPH) & ~F.col("path").isin(*CARETAKERS) & ~tx.top_folder(F.col("path")).isin(*ignored))
+    return rows.select("path", F.sha2("content", 256).alias("hash"))
+
+
+def read_state(spark: SparkSession, path: str, default: dict) -> dict:
+    """A caretaker's state file; the default where there is none, and a status that says so where it cannot be read."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return dict(default)
+    stream = fs.open(at)
+    try:
+        found = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
+        found = None
+    finally:
+        stream.close()
+    return default | found if isinstance(found, dict) else {"status": "state file unreadable"}
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """``tool_uses`` of transcripts in JSON lines, by file."""
+    return tool_uses(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def tool_uses(lines: DataFrame) -> DataFrame:
+    """(file, tools, logged) of transcript lines (file, value): the tools that were used, in blocks of a message or of the line
+    itself, and whether one of them logs a session. Lines that are no JSON objects are skipped."""
+    lines = lines.select("file", F.try_parse_json("value").alias("line"))
+    blocks = "array<variant>"
+    inner = F.try_variant_get("line", "$.message.content", blocks)
+    whole = F.try_variant_get("line", "$.message", "variant")
+    found = F.coalesce(F.when(whole.isNotNull(), inner).otherwise(F.try_variant_get("line", "$.content", blocks)), F.array().cast(blocks))
+    names = F.transform(F.filter(found, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_use", F.lit(False))), lambda b: F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("")))
+    rows = lines.select("file", names.alias("names"))
+    return rows.groupBy("file").agg(F.sum(F.size("names")).alias("tools"), F.bool_or(F.exists("names", lambda n: F.contains(n, F.lit("log_session")))).alias("logged"))
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,16 +122,22 @@ def read_vectors(spark: SparkSession, path: str, prefix: str, model: str) -> Dat
     return kept.withColumn("_last", last).filter("_last").filter(F.col("path").isNotNull() & F.col("vec").isNotNull()).select("path", "vec", "at")
 
 
+def fresh_vectors(vectors: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, vec, fresh) of ``read_vectors`` for notes that exist (path, mtime): fresh if made since the note's last change."""
+    changed = F.unix_millis("mtime")
+    return vectors.join(paths.select("path", "mtime"), "path").select("path", "vec", (F.col("at") >= changed).alias("fresh"))
+
+
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """``wanted`` (seq, stem) with name: the stem, or with `` 2``, `` 3`` and so on behind it where notes have it."""
+    """``wanted`` (seq, stem) with name: the stem, or with the first of `` 2``, `` 3`` and so on behind it that neither a note
+    nor an earlier row of the same stem has, whatever the case."""
     used = taken.select(F.lower(tx.stem(F.col("path"))).alias("_used")).distinct()
-    number = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("seq"))
-    rows = wanted.withColumn("_n", number)
-    base = F.lower("stem")
-    pattern = F.regexp_extract("_used", r"^(.*?)(?: (\d+))?$", 1)
-    count = used.withColumn("_base", pattern).groupBy("_base").agg(F.max(F.coalesce(F.regexp_extract("_used", r" (\d+)$", 1).try_cast("int"), F.lit(1))).alias("_most"))
-    at = F.col("_n") + F.coalesce("_most", F.lit(0))
-    rows = rows.join(count, base == F.col("_base"), "left")
+    behind = r"^(.*) ([2-9]|[1-9]\d+)$"
+    numbers = used.select(F.col("_used").alias("_base"), F.lit(1).cast("long").alias("_n")).union(used.filter(F.col("_used").rlike(behind)).select(F.regexp_extract("_used", behind, 1), F.regexp_extract("_used", behind, 2).try_cast("long")))
+    numbers = numbers.filter(F.col("_n").isNotNull()).groupBy("_base").agg(F.array_sort(F.collect_set("_n")).alias("_numbers"))  # of one stem
+    rank = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy("seq")).cast("long")
+    rows = wanted.withColumn("_rank", rank).join(numbers, F.lower("stem") == F.col("_base"), "left")
+    at = F.coalesce(F.aggregate("_numbers", F.col("_rank"), lambda n, x: F.when(x <= n, n + 1).otherwise(n)), F.col("_rank"))
     return rows.select("seq", "stem", F.when(at == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" "), at.cast("string"))).alias("name"))
 
 

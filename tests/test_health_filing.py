@@ -15,11 +15,11 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test ta
 
 
 def test_health_counts_mentions_of_missing_notes(spark, tmp_path):
-    for name in ("documents", "part", "lineitem"):
+    for name in ("documents", "part", "lineitem", "embeddings", "customer"):
         shutil.copy(f"{SF}/{name}.parquet", tmp_path)
     orders = pq.read_table(f"{SF}/orders.parquet")
     pq.write_table(orders.slice(3), tmp_path / "orders.parquet")
-    gone = set(orders.slice(0, 3)["o_orderkey"].to_pylist())
+    gone = set(orders.slice(0, 3)["o_orderkey"].to_pylist()) | {k for k in orders["o_orderkey"].to_pylist() if k % 97 == 0}
     lines = pq.read_table(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_partkey"]).to_pylist()
     want = len({(r["l_orderkey"], r["l_partkey"]) for r in lines if r["l_orderkey"] in gone})
     assert want > 0 and registry.QUERIES["health_report"](spark, str(tmp_path)).first()["orphaned_entities"] == want

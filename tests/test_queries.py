@@ -8,7 +8,8 @@ import pytest
 
 import noteweave.plans.maintenance
 import noteweave.plans.retrieval
-import noteweave.plans.structure  # noqa: F401
+import noteweave.plans.structure
+import noteweave.plans.vaults  # noqa: F401
 from noteweave.plans import registry
 
 SF = "/root/testdata/sf0.001"

@@ -17,6 +17,15 @@ def test_notes_and_hashes(spark, tmp_path):
     assert {r.path: r.text for r in vault.read_notes(spark, str(root)).collect()} == {"a/b.md": "one", "a b.md": "two !"}
     assert [r.path for r in vault.read_notes(spark, str(root), "a").collect()] == ["a/b.md"]
     assert {r.path for r in vault.read_hashes(spark, str(root)).collect()} == {"a/b.md", "a b.md"}
+    for path, data in {"Claude/Graph/Topics/t.md": b"t", "Claude/Librarian.md": b"l", "copilot/c.md": b"c", "kept.md": "\ufffd ok".encode(), "both.md": "\ufffd".encode() + b"\xff!", "t.md": b"---\ntags:\n- x\n---\n"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(data)
+    texts = {r.path: r.text for r in vault.read_notes(spark, str(root)).collect()}
+    assert texts["kept.md"] == "\ufffd ok" and texts["both.md"] == "\ufffd!" and "copilot/c.md" in texts
+    assert [r.path for r in vault.read_notes(spark, str(root), tags=["X"]).collect()] == ["t.md"]
+    assert {r.path for r in vault.read_hashes(spark, str(root)).collect()} == {"a/b.md", "a b.md", "kept.md", "both.md", "t.md"}
+    paths = vault.read_paths(spark, str(root))
+    assert paths.count() == 8 and "content" not in paths._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
 def test_journal_and_vectors(spark, tmp_path):
@@ -34,6 +43,9 @@ def test_names(spark):
     taken = spark.createDataFrame([("x/Log.md",), ("y/log 2.md",)], "path string")
     wanted = spark.createDataFrame([(1, "log"), (2, "New"), (3, "new")], "seq long, stem string")
     assert {r.seq: r.name for r in vault.free_names(wanted, taken).collect()} == {1: "log 3", 2: "New", 3: "new 2"}
+    taken = spark.createDataFrame([("a - 3.md",), ("b.md",), ("b 3.md",), ("c 2.md",)], "path string")
+    wanted = spark.createDataFrame([(1, "A - 3"), (2, "b"), (3, "b"), (4, "c"), (5, "c")], "seq long, stem string")
+    assert {r.seq: r.name for r in vault.free_names(wanted, taken).collect()} == {1: "A - 3 2", 2: "b 2", 3: "b 4", 4: "c", 5: "c 3"}
 
 
 def test_stream(spark, tmp_path):
@@ -101,5 +113,7 @@ def test_extraction(spark):
     new, mentions, edges = plug.apply_extraction(spark.createDataFrame([("Ada Lovelace", ["ADA"])], "name string, aliases array<string>"), done)
     assert [(r.name, r.type) for r in new.collect()] == [("New Co", "topic")]
     assert [(r.entity, r.note) for r in mentions.collect()] == [("Ada Lovelace", "n1")]
-    assert [(r.src, r.rel, r.dst) for r in edges.collect()] == [("Ada Lovelace", "joins", "New Co")]
-    assert sweep.run_steps({"a": dict, "b": lambda: 1 / 0})["b"]["error"].startswith("ZeroDivisionError")
+    assert [(r.src, r.rel, r.dst) for r in edges.collect()] == [("Ada Lovelace", "related_to", "New Co")]  # "Joins" is no known relation
+    a, b, c = sweep.run({"a": dict, "b": lambda: 1 / 0, "c": lambda: {"faults": 2}})
+    assert a.error is None and b.error.startswith("ZeroDivisionError") and [s.line[0] for s in (a, b, c)] == ["✓", "⚠", "⚠"]
+    assert [r.step for r in sweep.errors(spark, [a, b, c]).collect()] == ["b"]
