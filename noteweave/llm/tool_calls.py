@@ -2,22 +2,29 @@
 dependencies, arguments validated against schemas, and each call written as canonical JSON.
 
 * Linking is a hash join on (conversation, id); results are reduced to the first of each id before it.
-* Order: calls without open dependencies have level 0, others one more than the highest they wait for. Runs of calls
-  with one dependency each are jumped by pointers that double, in rounds as the logarithm of their length; calls with
-  several dependencies take a round for each level of such calls. A call's
-  position in its conversation is a count by level and turn, summed by blocks, so a conversation of any length is never
-  gathered. Calls in or behind a cycle have no level and no position.
-* Validation: a schema gives each parameter's JSON type and whether it is required; nothing else may occur.
+* Order: calls without open dependencies have level 0, others one more than the highest they wait for. A call's level is
+  the greatest of terms "level of a call, plus so many". Terms on calls that are settled become numbers, terms on one call
+  are merged, and calls with a single open term drop out: chains of them are jumped by pointers that double. So chains,
+  diamonds and whatever is made of them in series and side by side take rounds as the logarithm of their length; what is
+  not takes at most a round for each level. A call's position in its conversation is a count by level and turn, summed by
+  blocks, so a conversation of any length is never gathered. Calls in or behind a cycle have no level and no position.
+* Validation: a schema gives each parameter's JSON type, whether it is required, and, at any depth, values, bounds,
+  lengths, properties and items; nothing else may occur unless it says so.
 * Canonical JSON: keys sorted at every depth, no blanks, numbers in shortest form.
 
 Defined cases: null or unparsable arguments, and arguments that are no object, are the error "arguments"; an unknown
 tool is the error "name"; a call without a result has result null and linked false; a result without a call is left
-out; calls that repeat an id each keep their row and share the result; dependencies on ids that no call has are the
-error "after:ID" and wait for nothing; a null id or conversation links with nothing; an empty table gives no rows.
+out; calls that repeat an id each keep their row and share the result, and wait for what any of them waits for; ties in
+level and turn go by id; dependencies on ids that no call has are the error "after:ID" and wait for nothing; a null id or
+conversation links with nothing; very long arguments and results are carried whole; columns other than those named are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,66 +33,145 @@ from noteweave.llm import common
 
 #: Turns and levels of one block when positions are counted.
 BLOCK = 1000
-#: JSON types as variant schemas name them.
-TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+#: Kinds of JSON values as variant schemas begin.
+KINDS = {"string": "STRING", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
+NUMBERS = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+
+@dataclass(frozen=True)
+class Value:
+    """What a JSON value must be. ``kind``: string, integer, number, boolean, array, object, null, or None for any."""
+
+    kind: str | None = None
+    required: bool = False
+    enum: tuple = ()
+    minimum: float | None = None
+    maximum: float | None = None
+    min_length: int | None = None
+    max_length: int | None = None
+    properties: dict[str, Value] | None = None
+    items: Value | None = None
+    open: bool = False  # other properties may occur
+
+
+def _fits(value: Column, kind: str) -> Column:
+    of = F.schema_of_variant(value)
+    if kind in KINDS:
+        return of.startswith(KINDS[kind])
+    number = F.try_variant_get(value, "$", "double")
+    return of.rlike(NUMBERS) & (F.lit(True) if kind == "number" else F.coalesce(number == F.rint(number), F.lit(False)))
+
+
+def _faults(value: Column, rule: Value, at: Column) -> Column:
+    """Codes of what is wrong with a variant that is there, each behind its path."""
+    none = F.array().cast("array<string>")
+    if rule.kind is None:
+        return none
+    wrong, deeper = [], none
+    code = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.concat(at, F.lit(f":{name}")))
+    if rule.enum:
+        wrong.append(code(~F.to_json(value).isin([json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for v in rule.enum]), "enum"))
+    number, length = F.try_variant_get(value, "$", "double"), F.length(F.try_variant_get(value, "$", "string"))
+    if rule.kind == "array":
+        length = F.size(F.try_variant_get(value, "$", "array<variant>"))
+    wrong += [code(test, name) for limit, test, name in ((rule.minimum, number < F.lit(rule.minimum), "range"), (rule.maximum, number > F.lit(rule.maximum), "range"), (rule.min_length, length < F.lit(rule.min_length), "length"), (rule.max_length, length > F.lit(rule.max_length), "length")) if limit is not None]
+    if rule.kind == "object" and rule.properties is not None:
+        deeper = _properties(value, rule, F.concat(at, F.lit(".")))
+    if rule.kind == "array" and rule.items is not None:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: _faults(v, rule.items, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))
+        deeper = F.coalesce(F.flatten(each), none)
+    inside = F.concat(F.array_compact(F.array(*wrong)), deeper) if wrong else deeper
+    return F.when(_fits(value, rule.kind), inside).otherwise(F.array(F.concat(at, F.lit(":type"))))
 
 
-def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """Sorted array of error codes for JSON ``arguments`` of tool ``name``; schemas: {tool: {parameter: (type, required)}}."""
+def _properties(value: Column, rule: Value, at: Column) -> Column:
+    """Codes of what is wrong with an object's properties."""
+    none = F.array().cast("array<string>")
+    have = F.coalesce(F.try_variant_get(value, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    found = []
+    for name, inner in rule.properties.items():
+        got, place = F.try_element_at(have, F.lit(name)), F.concat(at, F.lit(name))
+        absent = F.array(F.concat(place, F.lit(":missing"))) if inner.required else none
+        found.append(F.when(F.map_contains_key(have, name), _faults(got, inner, place)).otherwise(absent))
+    if not rule.open:
+        known = F.array(*map(F.lit, rule.properties)).cast("array<string>")
+        found.append(F.transform(F.array_except(F.map_keys(have), known), lambda k: F.concat(at, k, F.lit(":unknown"))))
+    return F.concat(*found) if found else none
+
+
+def _rule(fields: dict[str, tuple[str, bool] | Value]) -> Value:
+    return Value("object", properties={k: v if isinstance(v, Value) else Value(v[0], v[1]) for k, v in fields.items()})
+
+
+def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool] | Value]]) -> Column:
+    """Sorted array of error codes for JSON ``arguments`` of tool ``name``; schemas: {tool: {parameter: (type, required), or
+    a ``Value``}}."""
     parsed = F.try_parse_json(arguments)
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     found = None
     for tool, fields in schemas.items():
-        checks = []
-        for field, (kind, required) in fields.items():
-            got = F.schema_of_variant(F.try_variant_get(parsed, f"$['{field}']", "variant"))
-            fits = None
-            for k in TYPES[kind]:
-                fits = got.startswith(k) if fits is None else fits | got.startswith(k)
-            checks.append(F.when(got.isNull(), F.lit(f"{field}:missing") if required else F.lit(None)).when(~fits, F.lit(f"{field}:type")))
-        known = F.array(*map(F.lit, fields))
-        unknown = F.transform(F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), known), lambda k: F.concat(k, F.lit(":unknown")))
-        errors = F.array_sort(F.concat(F.array_compact(F.array(*checks)).cast("array<string>"), unknown))
+        errors = F.array_sort(F.array_distinct(_properties(parsed, _rule(fields), F.lit(""))))
         found = F.when(name == tool, errors) if found is None else found.when(name == tool, errors)
     errors = F.array(F.lit("name")) if found is None else found.otherwise(F.array(F.lit("name")))
     return F.when(is_object, errors).otherwise(F.array(F.lit("arguments")))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv, id, level) of the calls' different ids, from their ``after`` arrays; cyclic ones are left out."""
-    ids = calls.select("conv", "id").filter(F.col("conv").isNotNull() & F.col("id").isNotNull()).distinct()
-    waits = calls.select("conv", "id", F.explode("after").alias("dep")).distinct()
-    waits = waits.join(ids.withColumnRenamed("id", "dep"), ["conv", "dep"], "left_semi")
-    waits = common.materialise(waits, "waits")
-    counts = waits.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
-    roots = ids.join(counts, ["conv", "id"], "left_anti").withColumn("level", F.lit(0))
-    # pointers of calls with one dependency, doubled until they leave such calls
-    jumps = common.materialise(counts.filter("n = 1").select("conv", "id", F.col("dep").alias("anchor"), F.lit(1).alias("dist"), F.lit(True).alias("moving")), "jumps")
+def _met(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A hash join: ``few`` has one narrow row for each key."""
+    return rows.join(few.hint("shuffle_hash"), keys, how)
+
+
+def _jumped(single: DataFrame) -> DataFrame:
+    """``single`` (conv, id, anchor, dist, base): calls whose level is the greater of base and the anchor's level plus dist;
+    with anchors that are none of them. Those that lead into a cycle of them are left out."""
+    jumps = common.materialise(single.withColumn("moving", F.lit(True)), "jumps")
     moving, first = jumps.count(), True
     while moving:
-        on = jumps.select("conv", F.col("id").alias("anchor"), F.col("anchor").alias("_to"), F.col("dist").alias("_more"))
-        step = jumps.join(on, ["conv", "anchor"], "left")
-        jumps = common.materialise(step.select("conv", "id", F.coalesce("_to", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("_more", F.lit(0))).alias("dist"), F.col("_to").isNotNull().alias("moving")), "jumps")
+        on = jumps.select("conv", F.col("id").alias("anchor"), F.col("anchor").alias("_to"), F.col("dist").alias("_more"), F.col("base").alias("_base"))
+        step = _met(jumps, on, ["conv", "anchor"], "left")
+        base = F.greatest("base", F.coalesce(F.col("_base") + F.col("dist"), F.lit(0)))
+        step = step.select("conv", "id", F.coalesce("_to", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("_more", F.lit(0))).alias("dist"), base.alias("base"), F.col("_to").isNotNull().alias("moving"))
+        old, jumps = jumps, common.materialise(step, "jumps")
+        common.discard(old)
         left = jumps.filter("moving").count()
         if left == moving and not first:
             break  # distances double: a round in which none stops has only cycles left
         moving, first = left, False
-    anchored = jumps.filter(~F.col("moving")).drop("moving")
-    known = common.materialise(roots, "level")
-    joints = counts.filter("n > 1").select("conv", "id", "n")
-    if not joints.isEmpty():
-        # calls with several dependencies: rounds over them alone
-        near = waits.join(joints, ["conv", "id"]).join(anchored.withColumnRenamed("id", "dep"), ["conv", "dep"], "left")
-        near = common.materialise(near.select("conv", "id", "n", F.coalesce("anchor", "dep").alias("anchor"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "joints")
-        while True:
-            met = near.join(known.select("conv", F.col("id").alias("anchor"), "level"), ["conv", "anchor"])
-            ready = met.groupBy("conv", "id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("dist")).alias("level")).filter("got = n")
-            new = common.materialise(ready.select("conv", "id", "level").join(known.select("conv", "id"), ["conv", "id"], "left_anti"), "level")
-            if new.isEmpty():
-                break
-            known = common.materialise(known.union(new), "level")
-    chained = anchored.join(known.select("conv", F.col("id").alias("anchor"), "level"), ["conv", "anchor"])
-    return known.union(chained.select("conv", "id", (F.col("level") + F.col("dist")).alias("level")))
+    return jumps.filter(~F.col("moving")).drop("moving")
+
+
+def levels(ids: DataFrame, waits: DataFrame) -> DataFrame:
+    """(conv, id, level) of the calls ``ids`` (conv, id), by what they wait for (conv, id, dep: among ids, each once); those
+    in or behind a cycle are left out."""
+    known = ids.join(waits.select("conv", "id").distinct(), ["conv", "id"], "left_anti").withColumn("level", F.lit(0))
+    known = common.materialise(known, "levels")
+    # a call's level is the greatest of its terms: the anchor's level plus dist, or dist where there is no anchor
+    terms = waits.select("conv", "id", F.col("dep").alias("anchor"), F.lit(1).alias("dist"))
+    out: list[DataFrame] = []
+    settled, gone = known, None
+    while True:
+        at = _met(terms, settled.select("conv", F.col("id").alias("anchor"), F.col("level").alias("_level")), ["conv", "anchor"], "left")
+        at = at.select("conv", "id", F.when(F.col("_level").isNull(), F.col("anchor")).alias("anchor"), (F.col("dist") + F.coalesce("_level", F.lit(0))).alias("dist"))
+        if gone is not None:
+            past = _met(at, gone.select("conv", F.col("id").alias("anchor"), F.col("anchor").alias("_to"), F.col("dist").alias("_more"), F.col("base").alias("_base")), ["conv", "anchor"], "left")
+            through = F.struct(F.coalesce("_to", "anchor").alias("anchor"), (F.col("dist") + F.coalesce("_more", F.lit(0))).alias("dist"))
+            least = F.struct(F.lit(None).cast("string").alias("anchor"), (F.col("dist") + F.coalesce("_base", F.lit(0))).alias("dist"))
+            at = past.select("conv", "id", F.inline(F.when(F.col("_to").isNull(), F.array(through)).otherwise(F.array(through, least))))
+        merged = common.materialise(at.groupBy("conv", "id", "anchor").agg(F.max("dist").alias("dist")), "terms")
+        one = merged.groupBy("conv", "id").agg(F.count("anchor").alias("n"), F.min("anchor").alias("anchor"), F.max(F.when(F.col("anchor").isNotNull(), F.col("dist"))).alias("dist"), F.coalesce(F.max(F.when(F.col("anchor").isNull(), F.col("dist"))), F.lit(0)).alias("base"))
+        one = common.materialise(one, "calls-open")
+        settled = one.filter("n = 0").select("conv", "id", F.col("base").alias("level"))
+        known = common.materialise(known.unionByName(settled), "levels")
+        gone = _jumped(one.filter("n = 1").select("conv", "id", "anchor", "dist", "base"))
+        out.append(gone)
+        terms = merged.join(one.filter("n > 1").select("conv", "id"), ["conv", "id"], "left_semi")
+        if terms.isEmpty() or one.filter("n <= 1").isEmpty():
+            break
+        settled = known
+    for part in reversed(out):  # what a chain hangs on has been settled, or went later than it
+        met = _met(part, known.select("conv", F.col("id").alias("anchor"), "level"), ["conv", "anchor"])
+        known = common.materialise(known.unionByName(met.select("conv", "id", F.greatest("base", F.col("level") + F.col("dist")).alias("level"))), "levels")
+    return known
 
 
 def positions(placed: DataFrame) -> DataFrame:
@@ -103,16 +189,21 @@ def positions(placed: DataFrame) -> DataFrame:
     return ranked.withColumn("position", (F.col("first") + F.col("second") + F.col("third") - 1).cast("long")).drop("high", "low", "first", "second", "third")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool] | Value]]) -> DataFrame:
     """Calls (conv, turn, id, name, arguments, after) with results (conv, turn, id, content): one row for each call, with
     level, position, linked, valid, errors and json."""
     first = results.groupBy("conv", "id").agg(F.min_by("content", F.struct("turn", F.coalesce("content", F.lit("")))).alias("content"), F.lit(True).alias("linked"))
-    calls = common.materialise(calls.select("conv", "turn", "id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after")), "calls")
-    lost = calls.select("conv", "id", "turn", F.explode("after").alias("dep")).join(calls.select("conv", F.col("id").alias("dep")).distinct(), ["conv", "dep"], "left_anti")
-    lost = lost.groupBy("conv", "id", "turn").agg(F.array_sort(F.transform(F.collect_set("dep"), lambda d: F.concat(F.lit("after:"), d))).alias("lost"))  # of one call
-    ranked = positions(calls.join(levels(calls), ["conv", "id"]))
-    cyclic = calls.join(ranked.select("conv", "id").distinct(), ["conv", "id"], "left_anti").withColumns({"level": F.lit(None).cast("int"), "position": F.lit(None).cast("long")})
-    rows = ranked.unionByName(cyclic).join(first, ["conv", "id"], "left").join(lost, ["conv", "id", "turn"], "left")
+    number = F.monotonically_increasing_id()
+    calls = common.materialise(calls.select("conv", "turn", "id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after")).withColumn("row", number), "calls")
+    ids = common.materialise(calls.select("conv", "id").filter(F.col("conv").isNotNull() & F.col("id").isNotNull()).distinct(), "call-ids")
+    asked = calls.select("conv", "id", "row", F.explode(F.array_distinct("after")).alias("dep"))
+    asked = common.materialise(_met(asked, ids.select("conv", F.col("id").alias("dep"), F.lit(True).alias("found")), ["conv", "dep"], "left"), "waits")
+    waits = asked.filter("found").select("conv", "id", "dep").filter(F.col("id").isNotNull()).distinct()
+    lost = asked.filter("found IS NULL AND dep IS NOT NULL").groupBy("row").agg(F.array_sort(F.transform(F.collect_set("dep"), lambda d: F.concat(F.lit("after:"), d))).alias("lost"))  # of one call
+    placed = common.materialise(_met(calls.select("conv", "turn", "id", "row"), levels(ids, waits), ["conv", "id"], "left"), "placed")
+    ranked = positions(placed.filter("level IS NOT NULL")).select("row", "level", "position")
+    rows = _met(calls, ranked, ["row"], "left")
+    rows = _met(_met(rows, lost, ["row"], "left"), first, ["conv", "id"], "left")
     errors = F.concat(validate(F.col("name"), F.col("arguments"), schemas), F.coalesce("lost", F.array().cast("array<string>")))
     rows = rows.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).withColumn("linked", F.coalesce("linked", F.lit(False)))
     record = F.struct(F.try_parse_json("arguments").alias("arguments"), "id", "name", F.col("content").alias("result"))

@@ -54,3 +54,42 @@ def test_order_against_brute_force(spark, monkeypatch):
 def test_nothing(spark):
     assert run(spark, [], []) == []
     assert tc.transcript(tc.link(spark.createDataFrame([(1, 0, "i", "f", '{"a":1}', None)], CALL), spark.createDataFrame([(1, 1, "i", None)], RESULT), SCHEMAS)).first().json.endswith('"result":null}')
+
+
+def test_nested_schemas(spark):
+    v = tc.Value
+    schema = {"f": {"o": v("object", True, properties={"it's": v("integer", True, minimum=0), "l": v("array", items=v("object", properties={"k": v("string", True, enum=("a", "b"))}), max_length=2)}), "n": v("number", maximum=10), "s": v("string", min_length=2), "any": v(), "big": v("integer")}}
+    cases = {
+        '{"o": {"it\'s": 1}}': [], '{"o": {"it\'s": 1.0, "l": [{"k": "a"}, {"k": "b"}]}, "n": 10, "s": "ok", "any": null, "big": 123456789012345678901234567890}': [],
+        '{"o": {"it\'s": -1, "l": [{"k": "c"}, {}, {"k": 1, "z": 2}]}}': ["o.it's:range", "o.l:length", "o.l[0].k:enum", "o.l[1].k:missing", "o.l[2].k:type", "o.l[2].z:unknown"],
+        '{"o": {"l": {}}, "n": 10.5, "s": "x", "big": 1.5}': ["big:type", "n:range", "o.it's:missing", "o.l:type", "s:length"], '{"o": null}': ["o:type"], '{"o": {"it\'s": true}}': ["o.it's:type"],
+    }
+    calls = spark.createDataFrame([(1, k, str(k), "f", a, None) for k, a in enumerate(cases)], CALL)
+    got = {r.turn: list(r.errors) for r in tc.link(calls, spark.createDataFrame([], RESULT), schema).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_long_chains_of_diamonds_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    jumped = tc._jumped
+    monkeypatch.setattr(tc, "_jumped", lambda s: rounds.append(1) or jumped(s))
+    calls = []
+    for k in range(300):  # each joint waits for two calls, and both for the joint before
+        before = [f"j{k - 1}"] if k else []
+        calls += [(1, 4 * k, f"a{k}", "f", "{}", before), (1, 4 * k + 1, f"b{k}", "f", "{}", before), (1, 4 * k + 2, f"c{k}", "f", "{}", [f"b{k}"]), (1, 4 * k + 3, f"j{k}", "f", "{}", [f"a{k}", f"c{k}"])]
+    got = {r.id: r.level for r in run(spark, calls, [])}
+    assert all(got[f"j{k}"] == 3 * k + 2 and got[f"a{k}"] == 3 * k and got[f"c{k}"] == 3 * k + 1 for k in range(300)) and len(rounds) <= 4
+
+
+def test_long_texts_and_other_columns(spark):
+    text = "long " * 400_000
+    calls = spark.createDataFrame([(1, 0, "i", "f", '{"a":1,"b":"' + text + '"}', None, "x", "y")], CALL + ", level string, content string")
+    results = spark.createDataFrame([(1, 1, "i", text, "z")], RESULT + ", name string")
+    (row,) = tc.link(calls, results, SCHEMAS).collect()
+    assert row.valid and row.linked and row.level == 0 and json.loads(row.json) == {"arguments": {"a": 1, "b": text}, "id": "i", "name": "f", "result": text}
+
+
+def test_links_are_hash_joins(spark):
+    done = tc.link(spark.createDataFrame([(1, 0, "i", "f", '{"a":1}', None)], CALL), spark.createDataFrame([(1, 1, "i", "r")], RESULT), SCHEMAS)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan
