@@ -258,9 +258,14 @@ def block(text: Column) -> Column:
     return F.when(at > 0, F.substr(text, F.lit(4), at - 4)).otherwise(F.lit(""))
 
 
+def as_json(text: Column) -> Column:
+    """The front matter as JSON, its keys in the order they are written; an empty object without one."""
+    return F.coalesce(_json(block(text)), F.lit("{}"))
+
+
 def meta(text: Column) -> Column:
-    """The front matter as a variant; an empty object without one."""
-    return F.parse_json(F.coalesce(_json(block(text)), F.lit("{}")))
+    """The front matter as a variant, whose keys are sorted; an empty object without one."""
+    return F.parse_json(as_json(text))
 
 
 def value(found: Column, key: str) -> Column:

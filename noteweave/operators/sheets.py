@@ -198,7 +198,7 @@ def schema_notes(notes: DataFrame) -> DataFrame:
     m = F.col("_meta")
     rows = notes.filter(F.col("path").rlike(rf"(^|/){SCHEMA}$") & (tx.top_folder(F.col("path")) != NOT_SHEETS)).withColumn("_meta", front.meta(F.col("text")))
     spec = "map<string,struct<type:string,required:boolean,values:array<string>,max_length:int>>"
-    columns = F.from_json(F.to_json(F.try_variant_get(m, "$.columns", "variant")), spec)
+    columns = F.from_json(front.as_json(F.col("text")), f"columns {spec}")["columns"]  # in the order they are written
     has = lambda k: F.try_variant_get(m, f"$.{k}", "variant").isNotNull()
     is_list = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(m, f"$.{k}", "variant")).startswith("ARRAY"), F.lit(False))
     rows = rows.select(F.regexp_replace("path", rf"/?{SCHEMA}$", "").alias("folder"), "_meta", "text", columns.alias("columns"))
@@ -240,14 +240,27 @@ def row_notes(notes: DataFrame, folders: DataFrame) -> DataFrame:
     return rows.join(folders, "folder").select("name", "path", "text")
 
 
-def sheet_rows(notes: DataFrame, sheet: Sheet) -> DataFrame:
+def sheet_rows(notes: DataFrame, sheet: Sheet, undeclared: bool = False) -> DataFrame:
     """The rows of one sheet, by path: its columns and the standard ones, read from front matter; numbers and truth values as
     text, and a list in a standard column as JSON."""
     folder = sheet.folder + "/"
     m = F.col("_meta")
     rows = notes.filter(F.col("path").startswith(folder) & ~F.contains(F.substr("path", F.lit(len(folder) + 1)), F.lit("/")) & (F.col("path") != folder + SCHEMA)).withColumn("_meta", front.meta(F.col("text")))
     wide = [F.coalesce(front.value(m, c), F.to_json(F.try_variant_get(m, f"$.{c}", "variant"))) if c in STANDARD else front.value(m, c) for c in (*sheet.fields, *STANDARD)]
-    return rows.select("path", *[w.alias(c) for w, c in zip(wide, (*sheet.fields, *STANDARD), strict=True)]).orderBy(tx.path_key(F.col("path")))
+    return rows.select("path", *[w.alias(c) for w, c in zip(wide, (*sheet.fields, *STANDARD), strict=True)], *([_undeclared(sheet).alias("_undeclared")] if undeclared else [])).orderBy(tx.path_key(F.col("path")))
+
+
+def _undeclared(sheet: Sheet) -> Column:
+    """The first key of front matter that the sheet does not have."""
+    known = F.array(*map(F.lit, (*sheet.fields, *STANDARD)))
+    return F.get(F.array_except(F.json_object_keys(F.to_json("_meta")), known), 0)
+
+
+def check_notes(notes: DataFrame, sheet: Sheet) -> DataFrame:
+    """(path, error) of a sheet's notes at fault; keys that are not declared are faults, too."""
+    rows = sheet_rows(notes, sheet, undeclared=True)
+    error = F.coalesce(first_error(sheet, {c: t for c, t in rows.dtypes if c != "_undeclared"}, required=False), F.concat("_undeclared", F.lit(": not declared")), first_error(sheet, {c: t for c, t in rows.dtypes if c != "_undeclared"}))
+    return rows.select("path", error.alias("error")).filter(F.col("error").isNotNull())
 
 
 def counts(notes: DataFrame) -> DataFrame:

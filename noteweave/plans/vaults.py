@@ -33,7 +33,7 @@ def sheet_vault(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("Sheets/Customers/"), F.when(k % 29 == 0, F.lit("old/")).otherwise(F.lit("")), F.lpad(k.cast("string"), 7, "0"), F.lit(".md")).alias("path"),
         F.concat(F.lit("---\nname: "), "c_name", F.lit("\nsegment: "), F.when(k % 17 != 0, F.col("c_mktsegment")).otherwise(F.lit("")), F.lit("\nsince: "), F.when(k % 13 == 0, F.lit("2024")).otherwise(F.lit("2024-01-02")),
-                 F.lit("\nactive: "), F.when(k % 19 == 0, F.lit("maybe")).otherwise(F.lit("yes")), F.lit("\ntags:\n- a\n- 'b'\n---\n\nnotes\n")).alias("text"),
+                 F.lit("\nactive: "), F.when(k % 19 == 0, F.lit("maybe")).otherwise(F.lit("yes")), F.when(k % 23 == 0, F.lit("\nextra: 1")).otherwise(F.lit("")), F.lit("\ntags:\n- a\n- 'b'\n---\n\nnotes\n")).alias("text"),
     )
     r = F.col("r_regionkey")
     bad = F.concat(F.lit("---\nsheet: "), "r_name", F.when(r % 3 == 0, F.lit("\nfilename: x")).otherwise(F.lit("")), F.lit("\nkey: [k]\ncolumns:\n  k: {type: "), F.when(r == 3, F.lit("odd")).otherwise(F.lit("string")), F.lit("}\n---\n"))
@@ -56,11 +56,10 @@ def sheet_notes(spark, sf_dir):
     return sheets.sheet_rows(v, sheets.get_sheet(v, "customers")).select("path", "name", "segment", "since", "active", "tags")
 
 
-@query("sheet_notes_check", f"SELECT path, CASE WHEN k % 13 = 0 THEN 'since: not a date' WHEN k % 19 = 0 THEN 'active: not a bool' ELSE 'segment: missing' END AS error FROM ({NOTE_ROWS_SQL}) WHERE k % 13 = 0 OR k % 19 = 0 OR k % 17 = 0")
+@query("sheet_notes_check", f"SELECT path, CASE WHEN k % 13 = 0 THEN 'since: not a date' WHEN k % 19 = 0 THEN 'active: not a bool' WHEN k % 23 = 0 THEN 'extra: not declared' ELSE 'segment: missing' END AS error FROM ({NOTE_ROWS_SQL}) WHERE k % 13 = 0 OR k % 19 = 0 OR k % 17 = 0 OR k % 23 = 0")
 def sheet_notes_check(spark, sf_dir):
     v = sheet_vault(spark, sf_dir)
-    sheet = sheets.get_sheet(v, "customers")
-    return sheets.check(sheets.sheet_rows(v, sheet), sheet)
+    return sheets.check_notes(v, sheets.get_sheet(v, "customers"))
 
 
 @query("file_names", r"""WITH r AS (SELECT c_custkey AS seq, rtrim(trim(regexp_replace(regexp_replace(substr(c_name, 1, 12) || ': ' || c_nationkey, '[\\/:*?"<>|]', '-', 'g'), '\s+', ' ', 'g'))[:120]) AS clean FROM customer)

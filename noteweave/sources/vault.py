@@ -6,6 +6,7 @@ Everything is read and written by Spark, so a vault may be in any store that Spa
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,37 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, mtime) of every note below ``root``; columns that are not used are not read."""
+    """(path, content, mtime) of every note below ``root``; columns that are not used are not read. Notes whose names begin
+    with ``_``, which Spark's sources hide, are added: sheets' schemas, a few. Folders that Spark hides are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    return _listed(rows.select(_relative(root).alias("path"), "content", F.col("modificationTime").alias("mtime")))
+    rows = rows.select(_relative(root).alias("path"), "content", F.col("modificationTime").alias("mtime"))
+    hidden = _underscored(spark, root)
+    return _listed(rows.unionByName(hidden) if hidden is not None else rows)
+
+
+def _underscored(spark: SparkSession, root: str) -> DataFrame | None:
+    """As ``_files``, of the notes whose names begin with ``_``, read by the driver."""
+    jvm = spark.sparkContext._jvm
+    base = re.sub(r"([\\\[\]{}*?])", r"\\\1", root.rstrip("/"))
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(root)).toUri().getPath().rstrip("/")
+    found, deeper = [], "/*"
+    while True:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}{deeper.removesuffix('/*')}/_*.md")) or []:
+            path = status.getPath().toUri().getPath()[len(top) + 1 :]
+            if not any(c.startswith((".", "_")) for c in path.split("/")[:-1]):
+                stream = fs.open(status.getPath())
+                try:
+                    content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                finally:
+                    stream.close()
+                found.append((path, bytearray(content), status.getModificationTime()))
+        if not len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}{deeper}/*")) or []):
+            break
+        deeper += "/*"
+    if not found:
+        return None
+    return spark.createDataFrame(found, "path string, content binary, at long").select("path", "content", F.timestamp_millis("at").alias("mtime"))
 
 
 @F.pandas_udf(StringType())
