@@ -16,8 +16,8 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from noteweave.llm import common
 
-#: Pieces held by one worker; the table starts anew beyond it. Longer pieces are not held.
-MEMO_PIECES, MEMO_CHARS = 300_000, 64
+#: Pieces held by one worker; beyond it, those that have been met again stay. Longer pieces are not held.
+MEMO_PIECES, MEMO_CHARS = 600_000, 64
 #: Runs of Latin letters; both vocabularies split between such a run and ASCII signs, digits or white space.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Such runs, each with the blank before it, and what stands between them.
@@ -36,6 +36,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.kind = {2: "H", 4: "I"}[width]
         self.memo: dict[str, bytes] = {}
+        self.again: set[str] = set()
         # a run of letters is one pre-token: the same model behind a plain byte map
         self.letters = Tokenizer.from_file(path)
         self.letters.no_truncation()
@@ -51,10 +52,12 @@ class PieceEncoder:
         return [array(self.kind, e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
-        new = {p for p in pieces if p not in self.memo}
+        new = pieces.difference(self.memo)
+        self.again.update(pieces.difference(new))
         if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo = {}
-            new = pieces
+            kept = self.again if 2 * len(self.again) < MEMO_PIECES else pieces
+            self.memo = {p: self.memo[p] for p in kept if p in self.memo}
+            self.again = set()
         runs = [p for p in new if len(p) <= MEMO_CHARS and RUN.fullmatch(p)]
         self.memo.update(zip(runs, self.whole(runs if self.blank else [p.lstrip() for p in runs], self.letters), strict=True))
         others = [p for p in new.difference(runs) if len(p) <= MEMO_CHARS and ALONE.fullmatch(p)]
