@@ -203,3 +203,8 @@ def last_error(text: Column, cut: int = 300) -> Column:
     """The last line that names an error, cut; else the text's end."""
     hit = F.filter(lines(text), lambda x: x.rlike(r"(?i)\b(ERROR|FATAL)\b"))
     return F.when(F.size(hit) > 0, F.substring(F.element_at(hit, -1), 1, cut)).otherwise(F.substr(text, F.greatest(F.length(text) - cut + 1, F.lit(1))))
+
+
+def json_safe(value: Column) -> Column:
+    """Any nested value as JSON: days and times as ISO text, nulls kept."""
+    return F.to_json(value, {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})

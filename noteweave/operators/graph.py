@@ -113,6 +113,14 @@ def repair_relations(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     return every.select("src", "rel", "dst", F.when(F.col("action") != "removed", F.col("_to")).alias("new_dst"), "action")
 
 
+def first_fixes(repaired: DataFrame, most: int = 200) -> DataFrame:
+    """``repair_relations`` with its first ``most`` changes by source, relation and target; the others are left for ``later``."""
+    todo = repaired.filter("action <> 'kept'").orderBy("src", "rel", "dst").limit(most).select("src", "rel", "dst", F.lit(True).alias("_now"))
+    rows = repaired.join(F.broadcast(todo), ["src", "rel", "dst"], "left")
+    later = (F.col("action") != "kept") & F.col("_now").isNull()
+    return rows.select("src", "rel", "dst", F.when(later, F.col("dst")).otherwise(F.col("new_dst")).alias("new_dst"), F.when(later, F.lit("later")).otherwise(F.col("action")).alias("action"))
+
+
 def flatten_redirects(redirects: DataFrame) -> DataFrame:
     """(path, action, target): redirects of more than one step pointed at their end; dead ends to be retired."""
     stubs = redirects.filter(F.col("next").isNotNull()).select("path", "next")

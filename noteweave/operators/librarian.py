@@ -67,9 +67,9 @@ def organize_step(t: Tables, candidates: DataFrame, apply: bool) -> tuple[Tables
 def cleanup_step(t: Tables) -> tuple[Tables, DataFrame]:
     """Retract what is gone, point relations at what lives, prune vectors; one row of counts."""
     mentions, manifest, failures, counts = graph.retract_deleted(t.mentions, t.manifest, t.failures, t.notes)
-    repaired = written(graph.repair_relations(t.edges, graph.resolve_redirects(t.redirects)), "repaired")
+    repaired = written(graph.first_fixes(graph.repair_relations(t.edges, graph.resolve_redirects(t.redirects))), "repaired")
     live, gone = index.pruned(t.vectors, t.notes)
-    actions = repaired.agg(F.count_if(F.col("action") == "retargeted").alias("retargeted"), F.count_if(F.col("action") == "removed").alias("removed"))
+    actions = repaired.agg(F.count_if(F.col("action") == "retargeted").alias("retargeted"), F.count_if(F.col("action") == "removed").alias("removed"), F.count_if(F.col("action") == "later").alias("later"))
     after = replace(
         t, mentions=written(mentions, "mentions"), manifest=written(manifest, "manifest"), failures=written(failures, "failures"),
         edges=written(repaired.filter("new_dst IS NOT NULL").select("src", "rel", F.col("new_dst").alias("dst")).distinct(), "edges"), vectors=written(live, "vectors"),

@@ -227,10 +227,10 @@ def discover(notes: DataFrame) -> DataFrame:
 def get_sheet(notes: DataFrame, name: str) -> Sheet:
     """A registered sheet's schema; KeyError with the names that there are."""
     names = discover(notes)
-    found = schema_notes(notes).filter(F.col("error").isNull() & (F.col("name") == name)).first()
+    found = schema_notes(notes).filter(F.col("error").isNull() & (F.col("name") == name)).withColumn("columns", F.map_entries("columns")).first()  # entries keep their order
     if found is None:
         raise KeyError(f"unknown sheet {name!r}; registered: {sorted(r.name for r in names.limit(100).collect())}")
-    fields = {k: Field(v["type"], bool(v["required"]), tuple(v["values"] or ()), v["max_length"]) for k, v in found.columns.items()}
+    fields = {k: Field(v["type"], bool(v["required"]), tuple(v["values"] or ()), v["max_length"]) for k, v in found["columns"]}
     return Sheet(fields, tuple(found.key), tuple(found.identity), found.name, found.folder, found.filename)
 
 

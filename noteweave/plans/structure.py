@@ -112,14 +112,26 @@ def part_edges(spark, sf_dir):
     return li.select(F.concat(F.lit("P/"), F.col("l_partkey").cast("string")).alias("src"), F.lit("with").alias("rel"), F.concat(F.lit("P/"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string")).alias("dst")).distinct()
 
 
-@query("repair_relations", f"""WITH RECURSIVE {REDIRECT_SQL}, {PART_EDGES_SQL}, x AS (SELECT pe.*, t.target FROM pe JOIN resolved s ON s.path = pe.src AND s.target = s.path LEFT JOIN resolved t ON t.path = pe.dst),
- y AS (SELECT *, EXISTS (SELECT 1 FROM x k WHERE k.src = x.src AND k.dst = k.target AND k.target = x.target) AS have, row_number() OVER (PARTITION BY src, target, dst = target ORDER BY dst) AS rn FROM x),
- z AS (SELECT *, CASE WHEN target IS NULL THEN 'removed' WHEN target = dst THEN 'kept' WHEN have OR rn > 1 THEN 'removed' ELSE 'retargeted' END AS action FROM y)
- SELECT src, rel, dst, CASE WHEN action <> 'removed' THEN target END AS new_dst, action FROM z""")
-def repair_relations(spark, sf_dir):
+REPAIR_SQL = f"""WITH RECURSIVE {REDIRECT_SQL}, {PART_EDGES_SQL}, x AS (SELECT pe.*, t.target FROM pe JOIN resolved s ON s.path = pe.src AND s.target = s.path LEFT JOIN resolved t ON t.path = pe.dst),
+ y AS (SELECT x.*, k.src IS NOT NULL AS have, row_number() OVER (PARTITION BY x.src, x.target, x.dst = x.target ORDER BY x.dst) AS rn FROM x LEFT JOIN (SELECT DISTINCT src, target FROM x WHERE dst = target) k ON k.src = x.src AND k.target = x.target),
+ z AS (SELECT *, CASE WHEN target IS NULL THEN 'removed' WHEN target = dst THEN 'kept' WHEN have OR rn > 1 THEN 'removed' ELSE 'retargeted' END AS action FROM y)"""
+
+
+def repaired(spark, sf_dir):
     return graph.repair_relations(part_edges(spark, sf_dir), graph.resolve_redirects(redirects(spark, sf_dir)))
 
 
+@query("repair_relations", f"{REPAIR_SQL} SELECT src, rel, dst, CASE WHEN action <> 'removed' THEN target END AS new_dst, action FROM z")
+def repair_relations(spark, sf_dir):
+    return repaired(spark, sf_dir)
+
+
+@query("repair_bounded", f"""{REPAIR_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY action = 'kept' ORDER BY src, rel, dst) AS n FROM z)
+ SELECT src, rel, dst, CASE WHEN action = 'kept' OR n > 200 THEN dst WHEN action = 'retargeted' THEN target END AS new_dst, CASE WHEN action <> 'kept' AND n > 200 THEN 'later' ELSE action END AS action FROM n""")
+def repair_bounded(spark, sf_dir):
+    return graph.first_fixes(repaired(spark, sf_dir))
+
+
 @query("find_orphans", f"WITH {GRAPH_SQL} SELECT path FROM entities WHERE path NOT IN (SELECT entity FROM mentions) AND path NOT IN (SELECT src FROM edges) AND path NOT IN (SELECT dst FROM edges)")
 def find_orphans(spark, sf_dir):
     return graph.orphans(entities(spark, sf_dir), mentions(spark, sf_dir), edges(spark, sf_dir)).select("path")

@@ -294,3 +294,18 @@ def retirements(spark, sf_dir):
     e = entities(spark, sf_dir)
     few = mentions(spark, sf_dir).filter(F.substring("note", 3, 20).cast("long") % 300 == 1)
     return graph.retirements(e, few, edges(spark, sf_dir).limit(0), e.filter(F.substring("path", 3, 20).cast("long") % 2 == 0))
+
+
+@query("json_rows", """SELECT o_orderkey AS seq, '{"key":' || o_orderkey || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","tags":["' || o_orderstatus || '",null],"more":{"none":null}}' AS json FROM orders""")
+def json_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate")
+    row = F.struct(F.col("o_orderkey").alias("key"), F.to_date(day).alias("day"), day.alias("at"), F.array(F.col("o_orderstatus"), F.lit(None).cast("string")).alias("tags"), F.struct(F.lit(None).cast("string").alias("none")).alias("more"))
+    return o.select(F.col("o_orderkey").alias("seq"), tx.json_safe(row).alias("json"))
+
+
+@query("mention_lines", f"WITH {GRAPH_SQL}, e AS (SELECT DISTINCT entity, note FROM mentions), x AS (SELECT entity, note FROM e WHERE regexp_extract(note, '[0-9]+')::BIGINT % 2 = 0) SELECT entity, note, 'old' AS evidence FROM x UNION ALL SELECT entity, note, 'new' FROM e WHERE regexp_extract(note, '[0-9]+')::BIGINT % 3 = 0 AND (entity, note) NOT IN (SELECT (entity, note) FROM x)")
+def mention_lines(spark, sf_dir):
+    m = mentions(spark, sf_dir).distinct()
+    n = F.substring("note", 3, 20).cast("long")
+    return plug.add_mentions(m.filter(n % 2 == 0).withColumn("evidence", F.lit("old")), m.filter(n % 3 == 0).withColumn("evidence", F.lit("new")))
