@@ -9,6 +9,7 @@ library whole.
 from __future__ import annotations
 
 import gc
+import os
 import re
 from array import array
 
@@ -88,7 +89,9 @@ common.keeps("encoding", _encoders.clear)
 
 
 def encoder(path: str, width: int) -> PieceEncoder:
-    """The worker process's own; it keeps one at a time, while tasks that encode follow one another."""
+    """The worker process's own; it keeps one at a time, while tasks that encode follow one another. The library works in the
+    task's own thread: a task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     common.begin("encoding")
     key = (path, width)
     if key not in _encoders:
