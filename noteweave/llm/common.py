@@ -20,6 +20,8 @@ TASK_BYTES = 32 << 20
 #: Catalyst's estimate where it knows nothing is beyond this.
 UNKNOWN_BYTES = 1 << 60
 MOST_PARTITIONS = 1 << 17
+#: Bytes of a row group of intermediate tables: what a task holds of one while it writes or reads.
+ROW_GROUP = 16 << 20
 #: Rows (of a key and a number or two) that may be sent to all executors.
 BROADCAST_ROWS = 200_000
 
@@ -47,7 +49,7 @@ def work_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = work_path(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.noteweave_path = path
     return out
