@@ -72,10 +72,11 @@ def _pieces(knots: Column) -> Column:
 
 
 def _time(pieces: Column, share: Column) -> Column:
-    """The time by which the integral over the pieces has reached ``share`` (0 to 1) of its whole."""
+    """The time by which the integral over the pieces has reached ``share`` (0 to 1) of its whole; of nothing, the time when
+    it begins to grow."""
     last = F.element_at(pieces, -1)
     x = share * (last.before + last.area)
-    piece = F.coalesce(F.get(F.filter(pieces, lambda p: x <= p.before + p.area), 0), last)
+    piece = F.coalesce(F.get(F.filter(pieces, lambda p: (p.area > 0) & (x <= p.before + p.area)), 0), last)
 
     def within(p: Column) -> Column:
         rest = F.greatest(x - p.before, F.lit(0.0))  # of the demand, within this piece

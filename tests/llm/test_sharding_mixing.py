@@ -100,3 +100,42 @@ def test_mix(spark):
     places = [r.position for r in mixing.range_sorted(mixing.mix(docs)).collect()]
     assert places == sorted(places) and len(places) == sum(len(r.positions) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_positions_against_direct_integration(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(1, 40), rng.choice(["a", "a", "b", None])) for i in range(300)], "doc_id long, text string, source string").repartition(3)
+    hashes = {r.doc_id: r.h % 2**64 for r in docs.select("doc_id", mixing.F.xxhash64("doc_id", "text", mixing.F.lit("mix")).alias("h")).collect()}
+    rows = mixing.mix(docs).collect()
+    for number, source in enumerate(("a", "b", None)):
+        part = sorted((r for r in rows if r.source == source), key=lambda r: hashes[r.doc_id])
+        weight, tilt = (3.0, 1.0, 2.0)[number], 0.5 if number % 2 else -0.5
+        low, high = weight * (1 - tilt), weight * (1 + tilt)
+        integral = lambda t: low * t + (high - low) * t * t / 2  # noqa: E731, B023  of a straight line: the middle knot lies on it
+        begin, whole = 0, sum(r["size"] for r in part)
+        for r in part:
+            starts = [v for v in (begin, begin + whole) if v + r["size"] / 2 < r.target]
+            assert len(starts) == len(r.positions)
+            for v, t in zip(starts, r.positions, strict=True):
+                assert abs(integral(t) / integral(1) - v / r.target) < 1e-9
+            begin += r["size"]
+
+
+def test_a_schedule_of_its_own_and_many_sources(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 1 + id % 5) AS text", "concat('s', id % 1500) AS source")
+    late = spark.createDataFrame([("s7", [(0.0, 0.0), (0.5, 0.0), (1.0, 1.0)])], "source string, knots array<struct<time:double,weight:double>>")
+    rows = mixing.mix(docs, schedules=late, budget_share=1.0).collect()
+    assert all(p >= 0.5 for r in rows if r.source == "s7" for p in r.positions) and any(r.positions for r in rows if r.source == "s7")
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.source] += 1 + r.doc_id % 5
+    want = mixing.targets(sizes, {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(sorted(sizes))}, float(sum(sizes.values())), 2.0)
+    assert all(r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 for r in rows)
+
+
+def test_overfull_buckets_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(mixing, "OVERFULL", 2)
+    rows = [(7, "same words here", "a")] * 500 + [(i, "w " * (1 + i % 9), "b") for i in range(200)] + [(9, "long " * 200_000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(got) == len(rows) and abs(sum(r.taken for r in got if r.source == "a") - next(r.target for r in got if r.source == "a")) <= 3
