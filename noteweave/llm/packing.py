@@ -26,7 +26,7 @@ from noteweave.llm import common
 from noteweave.llm.encoding import encoder
 
 LONGEST = 4096
-BATCH_ROWS = 200
+BATCH_ROWS = 1000
 #: part, file and first row tell runs of rows apart; nth and place count within a run: its documents, and its pieces of
 #: a length.
 RUN = ["part", "file", "first"]

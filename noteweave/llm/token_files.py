@@ -35,7 +35,7 @@ from noteweave.llm import common
 from noteweave.llm.encoding import encoder
 
 #: Texts handed to the tokenizer at once.
-BATCH_ROWS = 200
+BATCH_ROWS = 1000
 MANIFEST = "shard long, n_docs long, n_null long, n_tokens long, width int, path string"
 
 
